@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from vexel.llm.bpe_codec import op6_bpe_codec
+from vexel.llm.quality import op8_risk_controlled_quality
 from vexel.llm.sharding import op10_hash_tree_sharding
 from vexel.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op6_bpe_codec, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op4_token_counts, op6_bpe_codec, op8_risk_controlled_quality, op10_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
