@@ -40,7 +40,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Signals of a text, each higher where the text is worse, as functions of the base columns.
 RULES: dict[str, str] = {
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
 }
 #: Candidate cutoffs of every rule, from lax to strict.
