@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,16 @@ SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each SparkContext, so that their Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if not getattr(context, "_vexel_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='vexel-')}/vexel", "zip", root, "vexel")
+        context.addPyFile(archive)
+        context._vexel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, by Spark's own reader, so that any store Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from vexel.llm.bpe_codec import op6_bpe_codec
+from vexel.llm.common import ship
 from vexel.llm.quality import op8_risk_controlled_quality
 from vexel.llm.sharding import op10_hash_tree_sharding
+from vexel.llm.simhash import op9_simhash_bktree
 from vexel.llm.token_counts import op4_token_counts
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op6_bpe_codec, op8_risk_controlled_quality, op10_hash_tree_sharding)}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: tuple[Query, ...] = (op4_token_counts, op6_bpe_codec, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
+
+
+def shipped(query: Query) -> Query:
+    """The query, after the package has been given to the executors."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: shipped(q) for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
