@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vexel.llm.bpe_codec import op6_bpe_codec
 from vexel.llm.common import ship
 from vexel.llm.decontamination import op5_string_tiling
+from vexel.llm.html_extraction import op3_host_suffix_array
 from vexel.llm.pii import op7_crf_pii
 from vexel.llm.quality import op8_risk_controlled_quality
 from vexel.llm.sharding import op10_hash_tree_sharding
@@ -19,7 +20,7 @@ from vexel.llm.token_counts import op4_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: tuple[Query, ...] = (op4_token_counts, op5_string_tiling, op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
+QUERIES: tuple[Query, ...] = (op3_host_suffix_array, op4_token_counts, op5_string_tiling, op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
 
 
 def shipped(query: Query) -> Query:
