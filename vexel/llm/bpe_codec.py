@@ -32,7 +32,7 @@ from vexel.llm.bpe import load_ranks, merge_piece, pair_merges, splitter
 from vexel.llm.common import table, text_slices
 
 #: Words that a worker keeps, bytes of a piece beyond which a heap merges it, words of one recursive query.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 LONG_PIECE = 256
 QUERY_WORDS = 40_000
 
@@ -136,8 +136,8 @@ class RecursiveCodec:
         pieces = [self.split.findall(t) for t in texts]
         self.learn({w for words in pieces for w in words})
         for words in pieces:
-            found = [self.known[w] for w in words]
-            yield sum(n for n, _, _ in found), ",".join([s for _, s, _ in found]), b"".join([b for _, _, b in found])
+            counts, listed, raw = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), (), ())
+            yield sum(counts), ",".join(listed), b"".join(raw)
 
 
 @lru_cache(maxsize=2)
