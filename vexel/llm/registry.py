@@ -15,13 +15,14 @@ from vexel.llm.pii import op7_crf_pii
 from vexel.llm.quality import op8_risk_controlled_quality
 from vexel.llm.sharding import op10_hash_tree_sharding
 from vexel.llm.simhash import op9_simhash_bktree
+from vexel.llm.substring_dedup import op1_paragraph_minhash
 from vexel.llm.token_counts import op4_token_counts
 from vexel.llm.toxicity import op2_noisy_channel_toxicity
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: tuple[Query, ...] = (op2_noisy_channel_toxicity, op3_host_suffix_array, op4_token_counts, op5_string_tiling, op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
+QUERIES: tuple[Query, ...] = (op1_paragraph_minhash, op2_noisy_channel_toxicity, op3_host_suffix_array, op4_token_counts, op5_string_tiling, op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
 
 
 def shipped(query: Query) -> Query:
