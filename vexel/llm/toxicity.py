@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -83,30 +84,31 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
 
 
+def choose(present: dict[str, int], toxic: dict[str, int], n: int, n_toxic: int) -> list[str]:
+    """The features whose toxic share lies EVIDENCE standard deviations over the sample's, the strongest MOST_FEATURES.
+
+    present, toxic: rows and toxic rows with the feature.
+    """
+    share = n_toxic / n
+
+    def evidence(f: str) -> float:
+        expected = present[f] * share
+        return (toxic[f] - expected) / math.sqrt(expected * (1 - share) + 0.5)
+
+    return [f for f in sorted(toxic, key=lambda f: (-evidence(f), f))[:MOST_FEATURES] if evidence(f) > EVIDENCE]
+
+
 def fit(rows: list[tuple[int, list[int]]], names: list[str], steps: int = 400, l2: float = 0.1) -> Classifier:
     """Logistic regression. rows: label and the numbers of the features present."""
     y = np.array([r[0] for r in rows], np.float32)
     n, positive = len(y), float(y.sum()) if rows else 0.0
     if not 0 < positive < n:
-        share = positive / n if n else 0.0
-        return Classifier(50.0 if share == 1 else -50.0, {})
-    present = Counter(f for label, row in rows for f in row)
-    toxic = Counter(f for label, row in rows if label for f in row)
-
-    def evidence(f: int) -> float:
-        """How many standard deviations the feature's toxic share lies over the sample's."""
-        expected = present[f] * positive / n
-        return (toxic[f] - expected) / math.sqrt(expected * (1 - positive / n) + 0.5)
-
-    chosen = [f for f in sorted(toxic, key=evidence, reverse=True)[:MOST_FEATURES] if evidence(f) > EVIDENCE]
-    column = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((n, len(chosen)), np.float32)
+        return Classifier(50.0 if n and positive == n else -50.0, {})
+    x = np.zeros((n, len(names)), np.float32)
     for i, (_, row) in enumerate(rows):
-        for f in row:
-            if f in column:
-                x[i, column[f]] = 1
-    w, b = np.zeros(len(chosen), np.float32), math.log(positive / (n - positive))
-    squares, b_square = np.full(len(chosen), 1e-6, np.float32), 1e-6
+        x[i, row] = 1
+    w, b = np.zeros(len(names), np.float32), math.log(positive / (n - positive))
+    squares, b_square = np.full(len(names), 1e-6, np.float32), 1e-6
     for _ in range(steps):
         error = y - 1 / (1 + np.exp(-(x @ w + b)))
         g, g_b = x.T @ error - l2 * w, float(error.sum())
@@ -114,7 +116,7 @@ def fit(rows: list[tuple[int, list[int]]], names: list[str], steps: int = 400, l
         b_square += g_b * g_b
         w += 0.5 * g / np.sqrt(squares)
         b += 0.5 * g_b / math.sqrt(b_square)
-    return Classifier(float(b), {names[f]: float(w[i]) for f, i in column.items()})
+    return Classifier(float(b), dict(zip(names, w.tolist(), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
@@ -125,27 +127,37 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
     sample = materialize(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-sample")
     shared = spark.sparkContext.broadcast(model)
 
-    def shared_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows have each feature; wanted: a broadcast set of features, or None for all."""
         restorer, total = Restorer(shared.value), Counter()
         for (texts,) in text_slices(batches, ["text"]):
             for text in texts:
-                total.update(features_of(restorer.words(text or "")))
+                found = features_of(restorer.words(text or ""))
+                total.update(found if wanted is None else found & wanted.value)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["feature", "n"])
 
-    n_toxic = sample.where("toxic = 1").count()
-    least = max(3, n_toxic // 200)
-    common = sample.where("toxic = 1").select("text").mapInArrow(shared_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    names = sorted(r["feature"] for r in common.select("feature").collect())  # each in one of every 200 toxic rows of a bounded sample
+    def counts(rows: DataFrame, wanted, least: int) -> dict[str, int]:
+        summed = rows.select("text").mapInArrow(partial(counted, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        return {r["feature"]: r["n"] for r in summed.where(F.col("n") >= least).toLocalIterator()}
+
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n = sizes.get(1, 0), sum(sizes.values())
+    if not 0 < n_toxic < n:
+        return fit([(label, []) for label, size in sizes.items() for _ in range(size)], [])
+    # each in one of every 50 toxic rows of a bounded sample, and so bounded too
+    toxic = counts(sample.where("toxic = 1"), None, max(3, n_toxic // 50))
+    present = counts(sample, spark.sparkContext.broadcast(frozenset(toxic)), 1)
+    names = choose(present, toxic, n, n_toxic)
     numbers = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, own = Restorer(shared.value), numbers.value
-        for texts, toxic in text_slices(batches, ["text", "toxic"]):
-            rows = [[own[f] for f in features_of(restorer.words(t or "")) if f in own] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
+        for texts, labels in text_slices(batches, ["text", "toxic"]):
+            rows = [sorted(own[f] for f in features_of(restorer.words(t or "")) & own.keys()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
 
-    rows = [(r["toxic"], r["features"]) for r in sample.select("text", "toxic").mapInArrow(present, "toxic int, features array<int>").collect()]
-    return fit(rows, names)
+    found = sample.select("text", "toxic").mapInArrow(chosen_of, "toxic int, features array<int>")
+    return fit([(r["toxic"], r["features"]) for r in found.toLocalIterator()], names)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
