@@ -135,6 +135,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
 
+def _placed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, ids, texts in text_slices(batches, ["doc_id", "id", "text"]):
+        values = np.fromiter((fingerprint(t or "") for t in texts), np.uint64, len(texts))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(values.view(np.int64))], ["row", "id", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -224,6 +230,22 @@ def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(named, "fp")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without all but one row of every component: the one with the least id (null ids last), then row.
+
+    Rows are told apart by their place in docs, which should be a table that is
+    read (as between stages), so that their places stay the same.
+    """
+    row = "__row"
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    prints = materialize(placed.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_placed_fingerprints, "row long, id long, fp long"), "fingerprints")
+    found = components_of(prints.select(F.col("row").alias("doc_id"), "fp"), radius)
+    named = found.select(F.col("doc_id").alias("row"), "component_id").join(prints.select("row", "id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first"))
+    kept = materialize(first.select(F.col("first.row").alias(row)), "kept")
+    return placed.join(kept, row, "left_semi").select(*docs.columns)
+
+
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
