@@ -1,11 +1,401 @@
-"""Queries of the search engine by name, each with the SQL that gives the same rows."""
+"""Queries of the search engine by name, each with the SQL that gives the same rows.
+
+Scores are rounded to six places on both sides, as sums may differ in the last
+bits. The query vector is the embedding of vec_id 0.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vexel.functions import vectors as V
+from vexel.functions.embedding import HashEmbedder, embed
+from vexel.functions.text import fuzzy_partial_ratio, hash_features_udf, text_hash_score
+from vexel.operators.autocut import autocut
+from vexel.operators.placement import append_shards, first_fit, with_positions
+from vexel.operators.rerank import WEIGHTS, combined, hybrid_rerank, ranked
+from vexel.operators.search import INT8, batch_top_k, best_first, scored, top_k
+from vexel.plans.filters import Columns, compile_filters
+from vexel.sources.store import VectorTable
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+K, SHARD = 5, 100
+QUERY_TEXT = "blue is cool"
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings")
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = _embeddings(spark, sf_dir).where("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row else []
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.round("score", 6).alias("score"))
+
+
+# scans and lookups
+
+
+def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+def get_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = _embeddings(spark, sf_dir).where("vec_id = 7")
+    return row.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
+
+
+def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select("vec_id", F.round(V.l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = V.normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return _embeddings(spark, sf_dir).select("vec_id", F.round(unit[0], 6).alias("x0"), F.round(V.dot(unit, unit), 6).alias("squared"))
+
+
+def cosine_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scored(_embeddings(spark, sf_dir), _query_vector(spark, sf_dir)), "vec_id")
+
+
+# top-k
+
+
+def _knn(spark: SparkSession, sf_dir: str, k: int = K, where: dict | None = None, metric: str = "cosine") -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    condition = compile_filters(Columns(rows.schema), where) if where is not None else None
+    return top_k(rows, _query_vector(spark, sf_dir), k, condition, tie_col="vec_id", metric=metric)
+
+
+def knn_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir), "vec_id", "rank")
+
+
+def knn_k_exceeds_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir, 1000, {"label": 4}), "vec_id", "rank")
+
+
+def knn_filter_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir, 10, {"label": 3}), "vec_id", "rank")
+
+
+def knn_filter_no_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir, 5, {"label": 99}), "vec_id", "rank")
+
+
+def knn_late_materialization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _knn(spark, sf_dir).select("vec_id", "score")
+    return best.join(_embeddings(spark, sf_dir).select("vec_id", "label"), "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def knn_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir, metric=INT8), "vec_id", "rank")
+
+
+def knn_int8_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_knn(spark, sf_dir, 10, {"label": {"$gte": 5}}, INT8), "vec_id", "rank")
+
+
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    found = batch_top_k(rows, rows.where("vec_id < 100").withColumnRenamed("vec_id", "qid"), K)
+    return _rounded(found, "qid", "vec_id", "rank")
+
+
+def knn_autocut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(autocut(_knn(spark, sf_dir, 10)), "vec_id", "rank")
+
+
+def _gap_rows(spark: SparkSession, sf_dir: str, ascending: bool) -> DataFrame:
+    """Six results for each user: their largest values, in order."""
+    order = F.asc("value") if ascending else F.desc("value")
+    ordered = Window.partitionBy("user_id").orderBy(order, "event_id")
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return events.withColumn("rank", F.row_number().over(ordered) - 1).where("rank < 6").withColumnRenamed("value", "score")
+
+
+def autocut_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autocut(_gap_rows(spark, sf_dir, False), group_cols=["user_id"]).select("user_id", "event_id", "rank", "score")
+
+
+def autocut_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autocut(_gap_rows(spark, sf_dir, True), ascending=True, group_cols=["user_id"]).select("user_id", "event_id", "rank", "score")
+
+
+# filters over events: value, event_type, user_id, ts, and k where the event is a click
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k").cast("int"))
+    return _read(spark, sf_dir, "events").withColumn("k", k)
+
+
+def _filtered(**filters) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _events(spark, sf_dir)
+        return rows.where(compile_filters(Columns(rows.schema), **filters)).select("event_id")
+
+    return query
+
+
+def _event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").withColumn("tags", F.array("event_type", F.concat(F.lit("u"), F.col("user_id") % 10)))
+    return rows.where(compile_filters(Columns(rows.schema), {"tags": {"$in": "u3"}})).select("event_id")
+
+
+_JAN = {day: datetime(2024, 1, day) for day in (5, 10, 20)}
+FILTERS: dict[str, tuple[dict, str]] = {
+    "filter_eq": ({"metadata_filter": {"event_type": "purchase"}}, "event_type = 'purchase'"),
+    "filter_eq_type_mismatch": ({"metadata_filter": {"user_id": "7"}}, "false"),
+    "filter_gt": ({"metadata_filter": {"value": {"$gt": 100}}}, "value > 100"),
+    "filter_gte": ({"metadata_filter": {"user_id": {"$gte": 100}}}, "user_id >= 100"),
+    "filter_lt": ({"metadata_filter": {"value": {"$lt": 20.5}}}, "value < 20.5"),
+    "filter_lte": ({"metadata_filter": {"user_id": {"$lte": 10}}}, "user_id <= 10"),
+    "filter_ne": ({"metadata_filter": {"k": {"$ne": 5}}}, "k IS NOT NULL AND k <> 5"),
+    "filter_presence": ({"metadata_filter": {"k": {"$gte": 0}}}, "k IS NOT NULL AND k >= 0"),
+    "filter_ts": ({"metadata_filter": {"ts": {"$lt": _JAN[10]}}}, "ts < TIMESTAMP '2024-01-10'"),
+    "filter_ts_range_list": ({"metadata_filter": [{"ts": {"$gte": _JAN[5]}}, {"ts": {"$lt": _JAN[20]}}]}, "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'"),
+    "filter_first_operator_only": ({"metadata_filter": {"value": {"$gte": 400, "$lte": 10}}}, "value >= 400"),
+    "filter_all_operators": ({"metadata_filter": {"value": {"$gte": 100, "$lte": 110}}, "multi_op": "all"}, "value >= 100 AND value <= 110"),
+    "filter_in_substring": ({"metadata_filter": {"event_type": {"$in": "ur"}}}, "contains(event_type, 'ur')"),
+    "filter_and_multikey": ({"metadata_filter": {"event_type": "view", "user_id": 3}}, "event_type = 'view' AND user_id = 3"),
+    "filter_and_list": ({"metadata_filter": [{"event_type": "view"}, {"value": {"$gt": 450}}]}, "event_type = 'view' AND value > 450"),
+    "filter_or_list": ({"or_filters": [{"event_type": "error"}, {"value": {"$lt": 5}}]}, "event_type = 'error' OR value < 5"),
+    "filter_or_multikey": ({"or_filters": [{"event_type": "error", "user_id": 3}]}, "event_type = 'error' OR user_id = 3"),
+    "filter_or_single_dict": ({"or_filters": {"user_id": 4}}, "user_id = 4"),
+    "filter_or_empty_dicts": ({"or_filters": [{}, {}], "metadata_filter": {"user_id": 5}}, "user_id = 5"),
+    "filter_and_or": ({"metadata_filter": {"value": {"$gt": 200}}, "or_filters": [{"event_type": "click"}, {"user_id": {"$lte": 20}}]}, "value > 200 AND (event_type = 'click' OR user_id <= 20)"),
+    "filter_exclude": ({"exclude_filter": {"event_type": "view"}}, "NOT coalesce(event_type = 'view', false)"),
+    "filter_exclude_missing_key": ({"exclude_filter": {"k": 5}}, "NOT coalesce(k = 5, false)"),
+    "filter_exclude_list": ({"exclude_filter": [{"event_type": "view"}, {"user_id": 3, "k": 7}]}, "NOT coalesce(event_type = 'view', false) AND NOT coalesce(user_id = 3, false) AND NOT coalesce(k = 7, false)"),
+    "filter_exclude_operator_is_literal": ({"exclude_filter": {"value": {"$gt": 5}}}, "true"),
+    "filter_and_or_exclude": (
+        {"metadata_filter": {"value": {"$gte": 50}}, "or_filters": [{"event_type": "click"}, {"event_type": "error"}], "exclude_filter": {"user_id": 9}},
+        "value >= 50 AND (event_type = 'click' OR event_type = 'error') AND user_id <> 9",
+    ),
+    "filter_empty": ({"metadata_filter": {}}, "true"),
+    "filter_only_empty_dict": ({"metadata_filter": [{}]}, "false"),
+    "filter_no_results": ({"metadata_filter": {"user_id": 2}, "or_filters": [{"user_id": 1}]}, "false"),
+    "filter_unknown_key": ({"metadata_filter": {"nothing": 1}}, "false"),
+}
+
+
+def presence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["event_type", "k", "ts", "user_id", "value"]
+    counts = _events(spark, sf_dir).agg(*[F.count(c).alias(c) for c in keys])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in keys])).alias("e")).select("e.key", "e.n")
+
+
+# changes and placement
+
+
+def insert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).select("vec_id", "label")
+    return rows.unionByName(rows.where("label = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label"))
+
+
+def insert_dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    new = rows.select((F.col("vec_id") * 3).alias("vec_id"))
+    return new.join(rows.select("vec_id"), "vec_id", "left_semi")
+
+
+def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).select("vec_id", "label")
+    return rows.join(rows.where("label IN (1, 2)").select("vec_id"), "vec_id", "left_anti")
+
+
+def compact_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_positions(_embeddings(spark, sf_dir).where("label <> 5").select("vec_id"), ["vec_id"], "row_num")
+
+
+def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return append_shards(with_positions(_embeddings(spark, sf_dir).select("vec_id"), ["vec_id"]), SHARD).select("vec_id", "shard_id")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_assign(spark, sf_dir).groupBy("shard_id").agg(F.count("*").alias("n"))
+
+
+def shard_first_fit_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = append_shards(with_positions(_embeddings(spark, sf_dir).select("vec_id", "label"), ["vec_id"]), SHARD)
+    counts = placed.where("label > 2").groupBy("shard_id").agg(F.count("*").alias("n"))
+    new = with_positions(placed.where("label <= 4").select((F.col("vec_id") + 1_000_000).alias("vec_id")), ["vec_id"])
+    return first_fit(new, counts, SHARD).select("vec_id", "shard_id")
+
+
+def _store(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vexel-')}"
+    return f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def migrate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = VectorTable(spark, _store(spark), sharded=False)
+    flat.insert_frame(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    shards = VectorTable(spark, _store(spark), shard_size=SHARD)
+    shards.migrate_from(flat)
+    return shards.shard_map().select("shard_id", "n")
+
+
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert, delete, insert again into the holes, and read back."""
+    rows = _embeddings(spark, sf_dir)
+    table = VectorTable(spark, _store(spark), shard_size=SHARD)
+    table.insert_frame(rows, "vec_id", "embedding")
+    table.delete_embeddings_batch(list(range(0, 40)))
+    table.insert_frame(rows.where("vec_id < 25").withColumn("vec_id", F.col("vec_id") + 1_000_000), "vec_id", "embedding")
+    reopened = VectorTable.open(spark, table.path, shard_size=SHARD)
+    return reopened.to_df().select(F.col("unique_id").cast("long").alias("vec_id"), "shard_id", "row_num", F.size("embedding").alias("dim"))
+
+
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = VectorTable(spark, _store(spark))
+    table.insert_frame(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    found = table.search(_query_vector(spark, sf_dir), k=K)
+    return found.select(F.col("unique_id").cast("long").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+# text
+
+
+def rerank_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events")
+    search, hashed, fuzzy = (F.col("event_id") % 97) / 97, (F.col("event_id") % 89) / 89, F.col("event_id") % 101
+    return ranked(events.select("event_id", F.round(combined(search, hashed, fuzzy, WEIGHTS), 6).alias("total")), 20, "event_id")
+
+
+def text_hash_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", F.round(text_hash_score(QUERY_TEXT, F.col("text")), 6).alias("score"))
+
+
+def text_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", hash_features_udf("text").alias("features"))
+
+
+def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", fuzzy_partial_ratio(QUERY_TEXT, F.col("text")).alias("ratio"))
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items nearest to one of them by offline embedding, reranked by its text."""
+    items = _read(spark, sf_dir, "benchmark").withColumn("embedding", embed(F.col("text"), HashEmbedder()))
+    own = items.where("item_id = 0").select("text", "embedding").first()
+    if own is None:
+        return items.selectExpr("item_id", "CAST(NULL AS DOUBLE) AS total", "CAST(NULL AS INT) AS rank").limit(0)
+    found = top_k(items, own["embedding"], 20, tie_col="item_id")
+    return hybrid_rerank(found, own["text"][:40], K).select("item_id", F.round("total", 6).alias("total"), "rank")
+
+
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select("item_id", embed(F.col("text"), HashEmbedder()).alias("embedding"))
+
+
+QUERIES: tuple[Query, ...] = (
+    scan_vectors, get_vector, row_count, l2_norm, l2_normalize, cosine_score_all, knn_top5, knn_k_exceeds_n, knn_filter_label, knn_filter_no_rows, knn_late_materialization,
+    knn_int8, knn_int8_filtered, knn_batch, knn_autocut, autocut_scores, autocut_distances, presence_index, insert_union, insert_dup_check, delete_anti, compact_row_numbers,
+    shard_assign, shard_counts, shard_first_fit_refill, migrate_shards, store_roundtrip, store_search, rerank_combine, text_hash_scores, text_hash_features, fuzzy_ratio,
+    hybrid_search, embed_documents,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES} | {name: _filtered(**given) for name, (given, _) in FILTERS.items()} | {"filter_in_array": _event_tags}
+
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_COS = f"SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, {_Q}"
+_UNIT8 = "list_transform(v, lambda x: round(127 * x / sqrt(list_dot_product(v, v)))::DOUBLE)"
+_INT8 = f"""SELECT vec_id, label, 1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS s FROM
+(SELECT vec_id, label, {_UNIT8} AS a FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)),
+(SELECT {_UNIT8} AS b FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0))"""
+_EVENTS = "(SELECT *, CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events)"
+
+
+def _top(source: str, k: int, order: str, where: str = "true") -> str:
+    ranks = f"SELECT vec_id, CAST(row_number() OVER (ORDER BY s {order}, vec_id) - 1 AS INT) AS rank, round(s, 6) AS score FROM ({source}) WHERE {where}"
+    return f"SELECT * FROM ({ranks}) WHERE rank < {k}"
+
+
+def _cut(results: str, sign: str, group: str, columns: str) -> str:
+    over = f"PARTITION BY {group}" if group else ""
+    gaps = f"SELECT *, {sign}(score - lag(score) OVER ({over} ORDER BY rank)) / nullif(lag(score) OVER ({over} ORDER BY rank), 0) AS gap FROM ({results})"
+    largest = f"SELECT *, max(gap) OVER ({over}) AS top FROM ({gaps})"
+    cut = f"SELECT *, min(CASE WHEN gap = top AND top > 0.2 THEN rank END) OVER ({over}) AS cut FROM ({largest})"
+    return f"SELECT {columns} FROM ({cut}) WHERE cut IS NULL OR rank < cut"
+
+
+def _six(order: str) -> str:
+    return f"SELECT user_id, event_id, value AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value {order}, event_id) - 1 AS INT) AS rank FROM events QUALIFY rank < 6"
+
+
+def _raw_top(k: int) -> str:
+    return f"SELECT vec_id, s AS score, CAST(row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS INT) AS rank FROM ({_COS}) QUALIFY rank < {k}"
+
+
+_POSITIONS = "SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings"
+_FIRST_FIT = f"""WITH placed AS (SELECT vec_id, label, CAST(position // {SHARD} AS INT) AS shard_id FROM ({_POSITIONS})),
+counts AS (SELECT shard_id, count(*) AS n FROM placed WHERE label > 2 GROUP BY shard_id),
+holes AS (SELECT shard_id, {SHARD} - n AS free, coalesce(sum({SHARD} - n) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counts WHERE n < {SHARD}),
+fresh AS (SELECT max(shard_id) + 1 AS next, (SELECT coalesce(sum(free), 0) FROM holes) AS room FROM counts),
+new AS (SELECT vec_id + 1000000 AS vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM placed WHERE label <= 4)
+SELECT new.vec_id, CAST(coalesce(holes.shard_id, fresh.next + (new.position - fresh.room) // {SHARD}) AS INT) AS shard_id
+FROM new CROSS JOIN fresh LEFT JOIN holes ON new.position >= holes.start AND new.position < holes.start + holes.free"""
 
-def queries() -> dict:
-    return {}
+ORACLE = {
+    "scan_vectors": "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dim FROM embeddings",
+    "get_vector": "SELECT vec_id, CAST(len(embedding) AS INT) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id = 7",
+    "row_count": "SELECT count(*) AS n, CAST(max(len(embedding)) AS INT) AS dim FROM embeddings",
+    "l2_norm": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "l2_normalize": "SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x0, 1.0::DOUBLE AS squared FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings)",
+    "cosine_score_all": f"SELECT vec_id, round(s, 6) AS score FROM ({_COS})",
+    "knn_top5": _top(_COS, K, "DESC"),
+    "knn_k_exceeds_n": _top(_COS, 1000, "DESC", "label = 4"),
+    "knn_filter_label": _top(_COS, 10, "DESC", "label = 3"),
+    "knn_filter_no_rows": _top(_COS, 5, "DESC", "label = 99"),
+    "knn_late_materialization": f"SELECT vec_id, label, round(s, 6) AS score FROM ({_COS}) ORDER BY s DESC, vec_id LIMIT {K}",
+    "knn_int8": _top(_INT8, K, "ASC"),
+    "knn_int8_filtered": _top(_INT8, 10, "ASC", "label >= 5"),
+    "knn_batch": f"""SELECT qid, vec_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
+CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) - 1 AS INT) AS rank
+FROM embeddings e, embeddings q WHERE q.vec_id < 100) WHERE rank < {K}""",
+    "knn_autocut": _cut(_raw_top(10), "-", "", "vec_id, rank, round(score, 6) AS score"),
+    "autocut_scores": _cut(_six("DESC"), "-", "user_id", "user_id, event_id, rank, score"),
+    "autocut_distances": _cut(_six("ASC"), "", "user_id", "user_id, event_id, rank, score"),
+    "presence_index": f"SELECT key, n FROM (UNPIVOT (SELECT count(event_type) AS event_type, count(k) AS k, count(ts) AS ts, count(user_id) AS user_id, count(value) AS value FROM {_EVENTS}) ON event_type, k, ts, user_id, value INTO NAME key VALUE n)",
+    "insert_union": "SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 0",
+    "insert_dup_check": "SELECT vec_id FROM (SELECT vec_id * 3 AS vec_id FROM embeddings) n WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = n.vec_id)",
+    "delete_anti": "SELECT vec_id, label FROM embeddings WHERE label NOT IN (1, 2)",
+    "compact_row_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_num FROM embeddings WHERE label <> 5",
+    "shard_assign": f"SELECT vec_id, CAST(position // {SHARD} AS INT) AS shard_id FROM ({_POSITIONS})",
+    "shard_counts": f"SELECT CAST(position // {SHARD} AS INT) AS shard_id, count(*) AS n FROM ({_POSITIONS}) GROUP BY 1",
+    "shard_first_fit_refill": _FIRST_FIT,
+    "migrate_shards": f"SELECT CAST(position // {SHARD} AS INT) AS shard_id, count(*) AS n FROM ({_POSITIONS}) GROUP BY 1",
+    "store_roundtrip": f"""SELECT vec_id, CAST(position // {SHARD} AS INT) AS shard_id, position AS row_num, 64::INT AS dim FROM ({_POSITIONS}) WHERE vec_id >= 40
+UNION ALL SELECT vec_id + 1000000, 0::INT, (SELECT count(*) FROM embeddings) + vec_id, 64::INT FROM embeddings WHERE vec_id < 25""",
+    "store_search": _top(_COS, K, "DESC"),
+    "rerank_combine": """SELECT event_id, total, CAST(row_number() OVER (ORDER BY total DESC, event_id) - 1 AS INT) AS rank FROM
+(SELECT event_id, round((event_id % 97) / 97::DOUBLE * 0.8::DOUBLE + (event_id % 89) / 89::DOUBLE * 0.15::DOUBLE + (event_id % 101) * 0.05::DOUBLE, 6) AS total FROM events) QUALIFY rank < 20""",
+    "filter_in_array": "SELECT event_id FROM events WHERE user_id % 10 = 3",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE | {name: f"SELECT event_id FROM {_EVENTS} WHERE {sql}" for name, (_, sql) in FILTERS.items()}
