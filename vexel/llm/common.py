@@ -51,6 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(batches: Iterator, columns: list[str]) -> Iterator[list[list]]:
     """Arrow batches as lists of Python values, cut so that a slice holds few rows or few bytes of text."""
     for batch in batches:

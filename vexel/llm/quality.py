@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import materialize, table
+from vexel.llm.common import fresh, materialize, table
 
 #: The characters that count as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     _, thresholds = score_quality(docs, labels, id_col, text_col, stratum_col)
-    own = "__quality"
+    own = fresh(docs, "__quality")
     judged = with_measures(docs, text_col, own)
     kept = ~base_failed(F.col(own)) & verdict(F.col(stratum_col), own, thresholds)
     return judged.where(kept).drop(own)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import materialize, table, text_slices
+from vexel.llm.common import fresh, materialize, table, text_slices
 from vexel.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -236,7 +236,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by their place in docs, which should be a table that is
     read (as between stages), so that their places stay the same.
     """
-    row = "__row"
+    row = fresh(docs, "__row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     prints = materialize(placed.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_placed_fingerprints, "row long, id long, fp long"), "fingerprints")
     found = components_of(prints.select(F.col("row").alias("doc_id"), "fp"), radius)

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
 
     def counts(rows: DataFrame, wanted, least: int) -> dict[str, int]:
         summed = rows.select("text").mapInArrow(partial(counted, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        return {r["feature"]: r["n"] for r in summed.where(F.col("n") >= least).toLocalIterator()}
+        return {r["feature"]: r["n"] for r in summed.where(F.col("n") >= least).collect()}
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n = sizes.get(1, 0), sum(sizes.values())
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel) -> Classifier:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
 
     found = sample.select("text", "toxic").mapInArrow(chosen_of, "toxic int, features array<int>")
-    return fit([(r["toxic"], r["features"]) for r in found.toLocalIterator()], names)
+    return fit([(r["toxic"], r["features"]) for r in found.collect()], names)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
