@@ -243,7 +243,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = found.select(F.col("doc_id").alias("row"), "component_id").join(prints.select("row", "id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first"))
     kept = materialize(first.select(F.col("first.row").alias(row)), "kept")
-    return placed.join(kept, row, "left_semi").select(*docs.columns)
+    # one shuffle of the rows at every size, hashed so that texts aren't sorted: what stays is as long as the table, too long to broadcast
+    return placed.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
 
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
