@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from vexel.llm.bpe import load_ranks, merge_piece, pair_merges, splitter
 from vexel.llm.common import table, text_slices
 
-#: Words that a worker keeps, bytes of a piece beyond which a heap merges it, words of one recursive query.
+#: Words that a worker keeps, bytes of a piece beyond which a heap merges it, words of one recursive query, documents whose words are learnt together.
 KEPT_WORDS = 600_000
 LONG_PIECE = 256
-QUERY_WORDS = 40_000
+QUERY_WORDS = 60_000
+SLICE_ROWS = 1024
 
-CONTRACT = """
+_CONTRACTED = """
 WITH RECURSIVE step AS (
     SELECT 0 AS round, word, pos, token FROM symbols
   UNION ALL (
@@ -53,7 +54,14 @@ WITH RECURSIVE step AS (
     WHERE s.pos <> b.gone
   )
 ), ended AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT s.word, list(s.token ORDER BY s.pos) AS ids FROM step s JOIN ended USING (word, round) GROUP BY s.word
+"""
+
+ENCODE = f"{_CONTRACTED} SELECT s.word, list(s.token ORDER BY s.pos) AS ids FROM step s JOIN ended USING (word, round) GROUP BY s.word"
+
+#: Both ways in one query: the ids in decimal, and the bytes that they decode to in hexadecimal.
+ROUND_TRIP = f"""{_CONTRACTED}
+SELECT s.word, count(*) AS n, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+FROM step s JOIN ended USING (word, round) JOIN vocabulary v ON v.token = s.token GROUP BY s.word
 """
 
 DECODE = """
@@ -76,21 +84,18 @@ class RecursiveCodec:
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._load("merges", pa.table({"lhs": left, "rhs": right, "merged": merged}))
         self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
-        #: word -> (number of ids, ids in decimal, decoded bytes)
+        #: word -> (number of ids, ids in decimal, decoded bytes): the words of late, and those before them
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        out: list[list[int]] = [[] for _ in words]
+    def _contract(self, words: list[bytes], query: str) -> Iterator[tuple]:
+        """Rows of the query, whose word numbers are those of the list; words over LONG_PIECE are left out."""
         short = [i for i, w in enumerate(words) if len(w) <= LONG_PIECE]
-        for i, word in enumerate(words):
-            if len(word) > LONG_PIECE:
-                out[i] = merge_piece(self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.pairs.get)
         for start in range(0, len(short), QUERY_WORDS):
             part = short[start : start + QUERY_WORDS]
             sizes = np.fromiter((len(words[i]) for i in part), np.int64, len(part))
@@ -101,9 +106,17 @@ class RecursiveCodec:
                 "token": self.byte_ids[np.frombuffer(b"".join(words[i] for i in part), np.uint8)],
             })
             self.db.register("symbols", symbols)
-            for word, ids in self.db.execute(CONTRACT).fetchall():
-                out[word] = ids
+            yield from self.db.execute(query).fetchall()
             self.db.unregister("symbols")
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        return merge_piece(self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.pairs.get)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        out = [self._merge_long(w) if len(w) > LONG_PIECE else [] for w in words]
+        for word, ids in self._contract(words, ENCODE):
+            out[word] = ids
         return out
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
@@ -123,13 +136,20 @@ class RecursiveCodec:
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words not yet known."""
-        unseen = list(words.difference(self.known))
-        if len(self.known) + len(unseen) > KEPT_WORDS:
-            self.known.clear()
-            unseen = list(words)
-        ids = self.encode_words([w.encode() for w in unseen])
-        for word, tokens, raw in zip(unseen, ids, self.decode(ids), strict=True):
-            self.known[word] = (len(tokens), ",".join(map(str, tokens)), raw)
+        if len(self.known) > KEPT_WORDS // 2:
+            self.older, self.known = self.known, {}
+        unseen = []
+        for word in words.difference(self.known):
+            if (kept := self.older.get(word)) is not None:
+                self.known[word] = kept
+            else:
+                unseen.append(word)
+        raw = [w.encode() for w in unseen]
+        for word, n, ids, hexed in self._contract(raw, ROUND_TRIP):
+            self.known[unseen[word]] = (n, ids, bytes.fromhex(hexed))
+        long = [(w, self._merge_long(r)) for w, r in zip(unseen, raw, strict=True) if len(r) > LONG_PIECE]
+        for (word, ids), decoded in zip(long, self.decode([ids for _, ids in long]), strict=True):
+            self.known[word] = (len(ids), ",".join(map(str, ids)), decoded)
 
     def run(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Of each text: the number of ids, the ids in decimal joined by commas, the bytes they decode to."""
@@ -148,7 +168,7 @@ def codec(path: str) -> RecursiveCodec:
 
 def _run_batches(path: str, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for ids, texts in text_slices(batches, ["doc_id", "text"]):
+    for ids, texts in text_slices(batches, ["doc_id", "text"], SLICE_ROWS):
         n, listed, decoded = [], [], []
         for count, joined, raw in own.run([t or "" for t in texts]):
             n.append(count)

@@ -59,13 +59,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_slices(batches: Iterator, columns: list[str]) -> Iterator[list[list]]:
+def text_slices(batches: Iterator, columns: list[str], most_rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """Arrow batches as lists of Python values, cut so that a slice holds few rows or few bytes of text."""
     for batch in batches:
         n, start = batch.num_rows, 0
         places = [batch.schema.get_field_index(c) for c in columns]
         while start < n:
-            rows = min(SLICE_ROWS, n - start)
+            rows = min(most_rows, n - start)
             part = batch.slice(start, rows)
             while rows > 1 and part.get_total_buffer_size() and _bytes(part) > SLICE_BYTES:
                 rows //= 2
