@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from hashlib import sha256
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,10 +33,10 @@ from vexel.llm.bpe import load_ranks, merge_piece, pair_merges, splitter
 from vexel.llm.common import table, text_slices
 
 #: Words that a worker keeps, bytes of a piece beyond which a heap merges it, words of one recursive query, documents whose words are learnt together.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 LONG_PIECE = 256
-QUERY_WORDS = 60_000
-SLICE_ROWS = 1024
+QUERY_WORDS = 30_000
+SLICE_ROWS = 512
 
 _CONTRACTED = """
 WITH RECURSIVE step AS (
@@ -60,7 +61,7 @@ ENCODE = f"{_CONTRACTED} SELECT s.word, list(s.token ORDER BY s.pos) AS ids FROM
 
 #: Both ways in one query: the ids in decimal, and the bytes that they decode to in hexadecimal.
 ROUND_TRIP = f"""{_CONTRACTED}
-SELECT s.word, count(*) AS n, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+SELECT s.word, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
 FROM step s JOIN ended USING (word, round) JOIN vocabulary v ON v.token = s.token GROUP BY s.word
 """
 
@@ -74,19 +75,22 @@ DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 
 
 class RecursiveCodec:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
+        self.kept_words = kept_words
         self.ranks = load_ranks(path)
         merges = pair_merges(self.ranks)
         self.pairs = {(a, b): (c, c) for a, b, c in merges}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = splitter()
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "200MB"})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._load("merges", pa.table({"lhs": left, "rhs": right, "merged": merged}))
         self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
-        #: word -> (number of ids, ids in decimal, decoded bytes): the words of late, and those before them
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        #: word -> ids in decimal, joined by commas: the words of late, and those before them
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: words whose ids decode to other bytes than their own
+        self.unfaithful: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -136,7 +140,7 @@ class RecursiveCodec:
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words not yet known."""
-        if len(self.known) > KEPT_WORDS // 2:
+        if len(self.known) > self.kept_words // 2:
             self.older, self.known = self.known, {}
         unseen = []
         for word in words.difference(self.known):
@@ -145,29 +149,39 @@ class RecursiveCodec:
             else:
                 unseen.append(word)
         raw = [w.encode() for w in unseen]
-        for word, n, ids, hexed in self._contract(raw, ROUND_TRIP):
-            self.known[unseen[word]] = (n, ids, bytes.fromhex(hexed))
-        long = [(w, self._merge_long(r)) for w, r in zip(unseen, raw, strict=True) if len(r) > LONG_PIECE]
-        for (word, ids), decoded in zip(long, self.decode([ids for _, ids in long]), strict=True):
-            self.known[word] = (len(ids), ",".join(map(str, ids)), decoded)
+        decoded = ((word, ids, bytes.fromhex(hexed)) for word, ids, hexed in self._contract(raw, ROUND_TRIP))
+        long = [(i, self._merge_long(r)) for i, r in enumerate(raw) if len(r) > LONG_PIECE]
+        decoded_long = zip((i for i, _ in long), (",".join(map(str, ids)) for _, ids in long), self.decode([ids for _, ids in long]), strict=True)
+        for i, ids, back in chain(decoded, decoded_long):
+            self.known[unseen[i]] = ids
+            if back != raw[i]:
+                self.unfaithful[unseen[i]] = back
 
     def run(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """Of each text: the number of ids, the ids in decimal joined by commas, the bytes they decode to."""
+        """Of each text: the number of ids, the ids in decimal joined by commas, the bytes they decode to.
+
+        A text decodes to what its words decode to, one after another; words whose
+        ids have decoded to their own bytes need not be kept twice.
+        """
         pieces = [self.split.findall(t) for t in texts]
         self.learn({w for words in pieces for w in words})
         for words in pieces:
-            counts, listed, raw = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), (), ())
-            yield sum(counts), ",".join(listed), b"".join(raw)
+            ids = ",".join(map(self.known.__getitem__, words))
+            if self.unfaithful and not self.unfaithful.keys().isdisjoint(words):
+                back = b"".join(self.unfaithful.get(w, w.encode()) for w in words)
+            else:
+                back = "".join(words).encode()
+            yield ids.count(",") + 1 if ids else 0, ids, back
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> RecursiveCodec:
+def codec(path: str, kept_words: int = KEPT_WORDS) -> RecursiveCodec:
     """One for each Python worker, which keeps it from task to task."""
-    return RecursiveCodec(path)
+    return RecursiveCodec(path, kept_words)
 
 
-def _run_batches(path: str, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = codec(path)
+def _run_batches(path: str, digest: bool, kept_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = codec(path, kept_words)
     for ids, texts in text_slices(batches, ["doc_id", "text"], SLICE_ROWS):
         n, listed, decoded = [], [], []
         for count, joined, raw in own.run([t or "" for t in texts]):
@@ -178,10 +192,13 @@ def _run_batches(path: str, digest: bool, batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by commas) and decoded bytes of every row; digest: SHA-256 of the last two."""
+def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by commas) and decoded bytes of every row; digest: SHA-256 of the last two.
+
+    kept_words: words that a Python worker remembers, about 200 bytes each; fewer cost time and no result.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_run_batches, ranks_path, digest), DIGEST_SCHEMA if digest else SCHEMA)
+    return rows.mapInArrow(partial(_run_batches, ranks_path, digest, kept_words), DIGEST_SCHEMA if digest else SCHEMA)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

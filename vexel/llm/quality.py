@@ -185,3 +185,40 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
+def oracle_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """The same rows by DuckDB: measures, certified cutoffs and verdicts."""
+    spaces = r"[ \t\n\x0B\f\r]+"
+    formulas = " UNION ALL ".join(f"SELECT doc, stratum, bad, base_failed, '{rule}' AS rule, {formula} AS value FROM labelled" for rule, formula in RULES.items())
+    judged = " UNION ALL ".join(f"SELECT doc, lang, '{rule}' AS rule, {formula} AS value FROM measured" for rule, formula in RULES.items())
+    return f"""
+WITH numbered AS (SELECT row_number() OVER () AS doc, doc_id, lang, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, list_filter(regexp_split_to_array(t, '{spaces}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM numbered),
+windows AS (SELECT doc, i, count(*) OVER (PARTITION BY doc, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+repeats AS (SELECT doc, count(DISTINCT i + d) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY doc),
+measured AS (
+  SELECT c.doc, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')))::BIGINT AS n_upper,
+    len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+  FROM cut c LEFT JOIN repeats r ON r.doc = c.doc
+),
+known AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT m.*, m.lang AS stratum, bad FROM measured m JOIN known USING (doc_id) WHERE NOT base_failed),
+signal AS ({formulas}),
+cutoffs AS (SELECT unnest({CUTOFFS}::DOUBLE[]) AS cutoff, unnest(range({len(CUTOFFS)})) AS step),
+strata AS (SELECT count(*) AS n FROM (SELECT DISTINCT stratum FROM labelled)),
+counts AS (
+  SELECT stratum, rule, step, cutoff, count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS all_bad, count(*) FILTER (NOT bad AND value > cutoff) AS lost, count(*) FILTER (bad AND value > cutoff) AS caught
+  FROM signal, cutoffs GROUP BY stratum, rule, step, cutoff
+),
+tested AS (
+  SELECT *, CASE WHEN lost >= good THEN 1 ELSE list_sum(list_transform(range(0, lost + 1), lambda k:
+    exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln({alpha / len(RULES)!r}) + (good - k) * ln(1 - {alpha / len(RULES)!r})))) END AS p
+  FROM counts WHERE good > 0 AND all_bad > 0
+),
+walked AS (SELECT *, max(CASE WHEN p > {delta!r} / ((SELECT n FROM strata) * {len(RULES)}) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS stopped FROM tested),
+best AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - lost DESC, step) AS place, caught - lost AS gain FROM walked WHERE stopped = 0),
+rejected AS (SELECT DISTINCT v.doc FROM ({judged}) v JOIN best b ON b.place = 1 AND b.gain > 0 AND b.rule = v.rule AND b.stratum IS NOT DISTINCT FROM v.lang AND v.value > b.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc NOT IN (SELECT doc FROM rejected) AS kept FROM measured
+"""

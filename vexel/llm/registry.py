@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from vexel.llm.bpe_codec import op6_bpe_codec
+from vexel.llm import quality
 from vexel.llm.common import ship
 from vexel.llm.decontamination import op5_string_tiling
 from vexel.llm.html_extraction import op3_host_suffix_array
@@ -41,4 +42,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no XXH64, CRC, regular expressions over several texts, merges or decoders as the others need; the tests hold those against brute force."""
+    return {op8_risk_controlled_quality.__name__: quality.oracle_sql()}
