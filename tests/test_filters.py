@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.errors import PySparkException
 
-from vexel.plans.filters import METADATA, Columns, Tagged, canonical, compile_filters, encode_metadata
+from vexel.plans.filters import METADATA, Columns, Tagged, canonical, compile_filters, decode_metadata, encode_metadata
 
 MISSING = object()
 ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
@@ -162,3 +162,10 @@ def test_canonical_is_python_equality():
     for a in VALUES:
         for b in VALUES:
             assert (canonical(a) == canonical(b)) == (a == b), (a, b)
+
+
+def test_metadata_come_back():
+    given = {str(i): v for i, v in enumerate([*VALUES, {"a": [1, {"b": None}]}, ("x", 2), datetime(2020, 5, 6, 7, 8, 9, 10).date(), "a:b", -3, -2.5])}
+    fields = ("kind", "num", "str", "ts", "items", "canon")
+    back = decode_metadata({k: dict(zip(fields, v, strict=True)) for k, v in encode_metadata(given).items()})
+    assert back == given and [type(v) for v in back.values()] == [type(v) for v in given.values()]

@@ -31,12 +31,13 @@ def first_fit(new: DataFrame, counts: DataFrame, shard_size: int, position_col:
     counts: shard id and rows n of every shard there is. Free places become rows,
     as many as new rows at most, and meet the new rows by their number.
     """
-    fresh = counts.agg(F.coalesce(F.max(shard_col) + 1, F.lit(0)).alias("__next"), F.coalesce(F.sum(F.greatest(F.lit(shard_size) - F.col("n"), F.lit(0))), F.lit(0)).alias("__room"))
+    room = F.coalesce(F.sum(F.greatest(F.lit(shard_size) - F.col("n"), F.lit(0))), F.lit(0))
+    following, free = counts.agg(F.coalesce(F.max(shard_col) + 1, F.lit(0)), room).first()
+    total = new.count()
     holes = counts.where(F.col("n") < shard_size).select(F.col(shard_col).alias("__shard"), (F.lit(shard_size) - F.col("n")).alias("__free"))
     before = F.coalesce(F.sum("__free").over(Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = new.agg(F.count("*").alias("__total"))
-    spans = holes.select("__shard", "__free", before.alias("__from")).crossJoin(F.broadcast(total)).where("__from < __total")
-    places = spans.select("__shard", F.explode(F.sequence("__from", F.least(F.col("__from") + F.col("__free"), F.col("__total")) - 1)).alias("__place"))
-    placed = new.join(places, new[position_col] == places["__place"], "left").crossJoin(F.broadcast(fresh))
-    later = F.col("__next") + F.floor((F.col(position_col) - F.col("__room")) / shard_size)
-    return placed.withColumn(shard_col, F.coalesce("__shard", later).cast("int")).drop("__shard", "__place", "__next", "__room")
+    spans = holes.select("__shard", "__free", before.alias("__from")).where(F.col("__from") < total)
+    places = spans.select("__shard", F.explode(F.sequence("__from", F.least(F.col("__from") + F.col("__free"), F.lit(total)) - 1)).alias("__place"))
+    placed = new.join(places, new[position_col] == places["__place"], "left")
+    later = following + F.floor((F.col(position_col) - free) / shard_size)
+    return placed.withColumn(shard_col, F.coalesce("__shard", later).cast("int")).drop("__shard", "__place")

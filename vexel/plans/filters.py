@@ -73,10 +73,44 @@ def encode_metadata(metadata: Mapping[str, Any] | None) -> dict[str, tuple]:
         kind = kind_of(value)
         stamp = datetime(value.year, value.month, value.day) if kind == "ts" and not isinstance(value, datetime) else value
         items = [canonical(v) for v in value] if kind in ("list", "dict") else None
-        out[key] = (kind, float(value) if kind == "num" else None, value if kind == "str" else None, stamp if kind == "ts" else None, items, canonical(value))
+        name = value if kind == "str" else type(value).__name__ if kind == "num" else None  # of a number its type, which a bool would lose
+        out[key] = (kind, float(value) if kind == "num" else None, name, stamp if kind == "ts" else None, items, canonical(value))
     return out
 
 
+def _parts(text: str) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        colon = text.index(":", at)
+        end = colon + 1 + int(text[at:colon])
+        out.append(text[colon + 1 : end])
+        at = end
+    return out
+
+
+def from_canonical(text: str) -> Any:
+    """The value of a canonical string; bools come back as numbers, other objects as their text."""
+    kind, _, rest = text.partition(":")
+    if kind == "n":
+        return int(rest) if rest.lstrip("-").isdigit() else float(rest)
+    if kind in ("l", "u"):
+        inner = [from_canonical(p) for p in _parts(rest)]
+        return tuple(inner) if kind == "u" else inner
+    if kind == "d":
+        inner = [from_canonical(p) for p in _parts(rest)]
+        return dict(zip(inner[::2], inner[1::2], strict=True))
+    if kind == "t":
+        return datetime.fromisoformat(rest) if "T" in rest else date.fromisoformat(rest)
+    return None if kind == "z" else rest
+
+
+def decode_metadata(tagged: Mapping[str, Any] | None) -> dict[str, Any]:
+    """The metadata dictionary of a map of tagged values."""
+    kinds = {"bool": bool, "float": float}
+    values = {key: (from_canonical(v["canon"]), v) for key, v in (tagged or {}).items()}
+    return {key: kinds[v["str"]](value) if v["kind"] == "num" and v["str"] in kinds else value for key, (value, v) in values.items()}
+
+
 class Binding(Protocol):
     def present(self, key: str) -> Column: ...
     def equals(self, key: str, value: Any) -> Column: ...

@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from vexel.operators.autocut import autocut as cut_results
 from vexel.operators.placement import append_shards, first_fit, with_positions
-from vexel.operators.rerank import WEIGHTS, hybrid_rerank
+from vexel.operators.rerank import WEIGHTS, hybrid_rerank, hybrid_rerank_results
 from vexel.operators.search import COSINE, INT8, top_k
-from vexel.plans.filters import METADATA, Filter, Tagged, compile_filters, encode_metadata
+from vexel.plans.filters import METADATA, Filter, Tagged, compile_filters, decode_metadata, encode_metadata
 
 SCHEMA = T.StructType([
     T.StructField("row_num", T.LongType()), T.StructField("unique_id", T.StringType()), T.StructField("id_type", T.StringType()),
@@ -167,8 +167,8 @@ class VectorTable:
 
     # changes
 
-    def store_embedding(self, unique_id: Any, embedding: Sequence[float], metadata: Mapping[str, Any] | None = None, text: str | None = None) -> None:
-        self.store_embeddings_batch([unique_id], [embedding], [metadata or {}], None if text is None else [text])
+    def store_embedding(self, unique_id: Any, embedding: Sequence[float], metadata_dict: Mapping[str, Any] | None = None, text: str | None = None) -> None:
+        self.store_embeddings_batch([unique_id], [embedding], [metadata_dict or {}], None if text is None else [text])
 
     def store_embeddings_batch(self, unique_ids: Sequence[Any], embeddings: Sequence[Sequence[float]], metadata_dicts: Sequence[Mapping[str, Any]] = (), texts: Sequence[str] | None = None) -> None:
         """Insert rows, all or none."""
@@ -255,11 +255,13 @@ class VectorTable:
         return found.select("rank", "unique_id", "id_type", "score", "metadata", "source").orderBy("rank")
 
     def find_most_similar(self, embedding: Sequence[float], metadata_filter: Filter = None, exclude_filter: Filter = None, or_filters: Filter = None, k: int = 5, autocut: bool = False, **options: Any) -> tuple[list, list, list]:
-        """Ids, scores and metadata (key -> canonical value) of the same, as lists."""
+        """Ids, scores and metadata of the same, as lists."""
         rows = self.search(embedding, metadata_filter, exclude_filter, or_filters, k, autocut, **options).collect()
-        return [id_value(r["unique_id"], r["id_type"]) for r in rows], [r["score"] for r in rows], [{key: v["canon"] for key, v in (r["metadata"] or {}).items()} for r in rows]
+        return [id_value(r["unique_id"], r["id_type"]) for r in rows], [r["score"] for r in rows], [decode_metadata(r["metadata"]) for r in rows]
 
     def hybrid_search(self, embedding: Sequence[float], query: str, k: int = 5, candidates: int = 20, weights: Sequence[float] = WEIGHTS, **filters: Any) -> DataFrame:
         """The nearest rows, reranked by the text that was stored with them."""
         found = self.search(embedding, k=candidates, **filters).withColumnRenamed("source", "text")
         return hybrid_rerank(found, query, k, weights)
+
+    hybrid_rerank_results = staticmethod(hybrid_rerank_results)
