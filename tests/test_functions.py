@@ -11,7 +11,7 @@ from vexel.functions.embedding import HashEmbedder, OnnxEmbedder, embed, embeddi
 from vexel.functions.text import cosine_of, hash_features, murmur3_32, partial_ratio
 from vexel.operators.autocut import autocut, autocut_distances, autocut_scores
 from vexel.operators.rerank import hybrid_rerank_results
-from vexel.operators.search import scored, top_k
+from vexel.operators.search import batch_top_k, scored, top_k
 
 
 def test_murmur_known_answers():
@@ -104,3 +104,15 @@ def test_embedders(spark):
         embedding_model()
     assert embedding_model(onnx_path="m.onnx", onnx_model_cpu_core_count=2).dimension == 512
     assert embedding_model(False, e5_model_size="small").dimension == 384
+
+
+def test_kernels_agree(spark, small_dir):
+    rows = spark.read.parquet(f"{small_dir}/embeddings.parquet")
+    query = list(rows.where("vec_id = 3").first()["embedding"])
+    plain, arrow = (top_k(rows, query, 12, F.col("label") < 7, tie_col="vec_id", kernel=kernel).orderBy("rank").collect() for kernel in ("expression", "arrow"))
+    assert [(r["rank"], r["vec_id"], r["label"], round(r["score"], 9)) for r in plain] == [(r["rank"], r["vec_id"], r["label"], round(r["score"], 9)) for r in arrow]
+    assert top_k(rows.limit(0), query, 3, tie_col="vec_id", kernel="arrow").count() == 0
+    assert batch_top_k(rows, rows.limit(0).withColumnRenamed("vec_id", "qid"), 3).count() == 0
+    for bad in ({"k": 0}, {"kernel": "other"}, {"metric": "other"}):
+        with pytest.raises(ValueError):
+            top_k(rows, query, tie_col="vec_id", **bad)

@@ -1,9 +1,9 @@
 """Nearest neighbours: exact and int8 top-k for one query, and batches of queries.
 
-One query is scored by column expressions, so filters and column pruning reach
-the scan and the top-k is taken in each partition before rows move. Batches of
-queries are scored by a matrix product in Arrow batches, each of which hands on
-its own k best only; queries travel in blocks of bounded size.
+Filters and column pruning reach the scan, and the top-k is taken in each
+partition before rows move. One query is scored by column expressions, or, on
+large tables, like batches of queries by a matrix product in Arrow batches, each
+of which hands on its own k best only; queries travel in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from vexel.functions import vectors as V
 QUERY_BLOCK_BYTES = 8 << 20
 
 COSINE, INT8 = "cosine", "int8"
+EXPRESSION, ARROW = "expression", "arrow"
 
 
 def scored(rows: DataFrame, query: Sequence[float], vector_col: str = "embedding", metric: str = COSINE, score_col: str = "score") -> DataFrame:
@@ -41,12 +42,26 @@ def best_first(metric: str, score_col: str = "score") -> Column:
     return score.asc_nulls_last() if metric == INT8 else score.desc_nulls_last()
 
 
-def top_k(rows: DataFrame, query: Sequence[float], k: int = 5, where: Column | None = None, vector_col: str = "embedding", tie_col: str = "row_num", metric: str = COSINE) -> DataFrame:
-    """The k nearest of the rows that qualify, nearest first, with score and rank (from 0). Filters come before the ranking, so k rows come back whenever k qualify."""
+def top_k(rows: DataFrame, query: Sequence[float], k: int = 5, where: Column | None = None, vector_col: str = "embedding", tie_col: str = "row_num", metric: str = COSINE, kernel: str = EXPRESSION) -> DataFrame:
+    """The k nearest of the rows that qualify, nearest first, with score and rank (from 0). Filters come before the ranking, so k rows come back whenever k qualify.
+
+    kernel: "expression" scores by column functions, without Python; "arrow" by a
+    matrix product over Arrow batches, which costs a worker's start and pays on
+    large tables. It needs a unique long in tie_col: only that column and the
+    vectors are read for the ranking, and the k rows are looked up afterwards.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     qualifying = rows if where is None else rows.where(where)
-    best = scored(qualifying, query, vector_col, metric).orderBy(best_first(metric), F.asc(tie_col)).limit(k)
+    if kernel == ARROW and metric == COSINE:
+        own = qualifying.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, q array<float>")
+        found = batch_top_k(qualifying, own, k, tie_col, "qid", vector_col, "q")
+        # k rows: a proven bound for the broadcast
+        best = rows.join(F.broadcast(found.select(tie_col, "score").orderBy(best_first(metric), F.asc(tie_col)).limit(k)), tie_col)
+    elif kernel in (EXPRESSION, ARROW):
+        best = scored(qualifying, query, vector_col, metric).orderBy(best_first(metric), F.asc(tie_col)).limit(k)
+    else:
+        raise ValueError(f"unknown kernel {kernel!r}")
     return best.withColumn("rank", F.row_number().over(Window.orderBy(best_first(metric), F.asc(tie_col))) - 1)
 
 
@@ -69,14 +84,14 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", query_col: str = "qid", vector_col: str = "embedding") -> DataFrame:
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", query_col: str = "qid", vector_col: str = "embedding", query_vector_col: str | None = None) -> DataFrame:
     """query_col, id, score and rank (from 0) of each query's k nearest rows by cosine."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark = rows.sparkSession
     schema = f"{query_col} long, {id_col} long, score double"
     parts = []
-    for ids, matrix in query_blocks(queries, query_col, vector_col):
+    for ids, matrix in query_blocks(queries, query_col, query_vector_col or vector_col):
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from vexel.functions.text import fuzzy_partial_ratio, hash_features_udf, text_ha
 from vexel.operators.autocut import autocut
 from vexel.operators.placement import append_shards, first_fit, with_positions
 from vexel.operators.rerank import WEIGHTS, combined, hybrid_rerank, ranked
-from vexel.operators.search import INT8, batch_top_k, best_first, scored, top_k
+from vexel.operators.search import ARROW, INT8, batch_top_k, scored, top_k
 from vexel.plans.filters import Columns, compile_filters
 from vexel.sources.store import VectorTable
 
@@ -120,6 +120,12 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "qid", "vec_id", "rank")
 
 
+def knn_arrow_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    where = compile_filters(Columns(rows.schema), {"label": {"$lte": 6}})
+    return _rounded(top_k(rows, _query_vector(spark, sf_dir), 10, where, tie_col="vec_id", kernel=ARROW), "vec_id", "rank")
+
+
 def knn_autocut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(autocut(_knn(spark, sf_dir, 10)), "vec_id", "rank")
 
@@ -310,7 +316,7 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     scan_vectors, get_vector, row_count, l2_norm, l2_normalize, cosine_score_all, knn_top5, knn_k_exceeds_n, knn_filter_label, knn_filter_no_rows, knn_late_materialization,
-    knn_int8, knn_int8_filtered, knn_batch, knn_autocut, autocut_scores, autocut_distances, presence_index, insert_union, insert_dup_check, delete_anti, compact_row_numbers,
+    knn_int8, knn_int8_filtered, knn_batch, knn_arrow_kernel, knn_autocut, autocut_scores, autocut_distances, presence_index, insert_union, insert_dup_check, delete_anti, compact_row_numbers,
     shard_assign, shard_counts, shard_first_fit_refill, migrate_shards, store_roundtrip, store_search, rerank_combine, text_hash_scores, text_hash_features, fuzzy_ratio,
     hybrid_search, embed_documents,
 )
@@ -376,6 +382,7 @@ ORACLE = {
     "knn_batch": f"""SELECT qid, vec_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
 CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) - 1 AS INT) AS rank
 FROM embeddings e, embeddings q WHERE q.vec_id < 100) WHERE rank < {K}""",
+    "knn_arrow_kernel": _top(_COS, 10, "DESC", "label <= 6"),
     "knn_autocut": _cut(_raw_top(10), "-", "", "vec_id, rank, round(score, 6) AS score"),
     "autocut_scores": _cut(_six("DESC"), "-", "user_id", "user_id, event_id, rank, score"),
     "autocut_distances": _cut(_six("ASC"), "", "user_id", "user_id, event_id, rank, score"),
