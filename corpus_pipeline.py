@@ -47,7 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True, kept_words=80_000)  # workers live on beside stages that need the memory
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True, kept_words=80_000, slice_rows=256)  # workers live on beside stages that need the memory
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]

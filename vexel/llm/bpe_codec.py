@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from vexel.llm.bpe import load_ranks, merge_piece, pair_merges, splitter
 from vexel.llm.common import table, text_slices
 
-#: Words that a worker keeps, bytes of a piece beyond which a heap merges it, words of one recursive query, documents whose words are learnt together.
-KEPT_WORDS = 400_000
+#: Words that a worker keeps, documents whose words are learnt together, bytes of a piece beyond which a heap merges it, words of one recursive query.
+KEPT_WORDS = 600_000
+SLICE_ROWS = 1024
 LONG_PIECE = 256
 QUERY_WORDS = 30_000
-SLICE_ROWS = 512
 
 _CONTRACTED = """
 WITH RECURSIVE step AS (
@@ -180,9 +180,9 @@ def codec(path: str, kept_words: int = KEPT_WORDS) -> RecursiveCodec:
     return RecursiveCodec(path, kept_words)
 
 
-def _run_batches(path: str, digest: bool, kept_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_batches(path: str, digest: bool, kept_words: int, slice_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = codec(path, kept_words)
-    for ids, texts in text_slices(batches, ["doc_id", "text"], SLICE_ROWS):
+    for ids, texts in text_slices(batches, ["doc_id", "text"], slice_rows):
         n, listed, decoded = [], [], []
         for count, joined, raw in own.run([t or "" for t in texts]):
             n.append(count)
@@ -190,15 +190,17 @@ def _run_batches(path: str, digest: bool, kept_words: int, batches: Iterator[pa.
             decoded.append(sha256(raw).hexdigest() if digest else raw)
         columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string() if digest else pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, kept_words: int = KEPT_WORDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by commas) and decoded bytes of every row; digest: SHA-256 of the last two.
 
-    kept_words: words that a Python worker remembers, about 200 bytes each; fewer cost time and no result.
+    kept_words: words that a Python worker remembers, about 200 bytes each; slice_rows: texts whose words it learns at once.
+    Less of either costs time and changes no result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_run_batches, ranks_path, digest, kept_words), DIGEST_SCHEMA if digest else SCHEMA)
+    return rows.mapInArrow(partial(_run_batches, ranks_path, digest, kept_words, slice_rows), DIGEST_SCHEMA if digest else SCHEMA)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
