@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm.bpe_codec import op6_bpe_codec
 from vexel.llm import quality
+from vexel.llm.bpe_codec import op6_bpe_codec
 from vexel.llm.common import ship
 from vexel.llm.decontamination import op5_string_tiling
 from vexel.llm.html_extraction import op3_host_suffix_array
@@ -20,10 +20,12 @@ from vexel.llm.substring_dedup import op1_paragraph_minhash
 from vexel.llm.token_counts import op4_token_counts
 from vexel.llm.toxicity import op2_noisy_channel_toxicity
 
-
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: tuple[Query, ...] = (op1_paragraph_minhash, op2_noisy_channel_toxicity, op3_host_suffix_array, op4_token_counts, op5_string_tiling, op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding)
+QUERIES: tuple[Query, ...] = (
+    op1_paragraph_minhash, op2_noisy_channel_toxicity, op3_host_suffix_array, op4_token_counts, op5_string_tiling,
+    op6_bpe_codec, op7_crf_pii, op8_risk_controlled_quality, op9_simhash_bktree, op10_hash_tree_sharding,
+)
 
 
 def shipped(query: Query) -> Query:
