@@ -82,3 +82,11 @@ def test_odd_rows(odd_docs, no_docs):
 def test_bands_and_removal():
     assert bands_for() == 8 and 1 - (1 - 0.8**3) ** 8 >= 0.995
     assert without_words("a b c\nd e\n\nf", [(1, 1), (3, 2)]) == "a c\n\nf"
+
+
+def test_short_lines_are_paragraphs(spark):
+    rng = random.Random(3)
+    short = [words(rng, n) for n in (5, 9, 24)]
+    rows = [(i, "\n".join([words(rng, 30), short[i % 3], words(rng, 4)])) for i in range(6)]
+    found = find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    assert {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in found} == {(i, 30, (5, 9, 24)[i % 3], i < 3) for i in range(6)}

@@ -1,7 +1,7 @@
 """Operator 1. Repeated passages by paragraph MinHash banding.
 
-Paragraphs are a text's lines of MIN_WORDS words or more, lower-cased. Each has
-a MinHash signature over its five-word shingles, cut into bands; the number of
+Paragraphs are a text's lines of MIN_WORDS words or more, lower-cased: every line
+that holds a shingle. Each has a MinHash signature over its five-word shingles, cut into bands; the number of
 bands is the least that finds pairs at the threshold with the wanted recall.
 Distinct paragraphs that collide in a band meet in a bucket, where the exact
 Jaccard similarity of their shingles is computed, and the links that hold are
@@ -43,7 +43,7 @@ from vexel.llm.components import connected_components
 from vexel.llm.simhash import Forest
 
 SHINGLE, THRESHOLD, RECALL, BAND_ROWS = 5, 0.8, 0.995, 3
-MIN_WORDS, PIECE_LINE, MIN_RUN, REACH = 25, 50, 15, 5
+MIN_WORDS, PIECE_LINE, MIN_RUN, REACH = SHINGLE, 50, 15, 5
 #: Paragraphs of a bucket that one task compares at once, and the bits of the bitmap of candidates.
 BLOCK_ROWS = 400
 BITMAP_BITS = 1 << 27
