@@ -90,3 +90,25 @@ def test_short_lines_are_paragraphs(spark):
     rows = [(i, "\n".join([words(rng, 30), short[i % 3], words(rng, 4)])) for i in range(6)]
     found = find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
     assert {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in found} == {(i, 30, (5, 9, 24)[i % 3], i < 3) for i in range(6)}
+
+
+def test_runs_are_whole_passages(spark):
+    """Any place and line breaks, every word, one class for copies of different extent, and the first copy of every part stays."""
+    rng = random.Random(4)
+    passage = words(rng, 51).split()
+    broken = " ".join(passage[:20]) + "\n" + "\n".join(" ".join(passage[k : k + 4]) for k in range(20, 51, 4))
+    rows, want = [], set()
+    for i in range(60):
+        lead = rng.randint(20, 60)
+        rows.append((60 - i, f"{words(rng, lead - 1)} before{i} {broken if i % 2 else ' '.join(passage)} after{i} {words(rng, 9)}"))
+        want.add((60 - i, lead, 51, i == 59))
+    head, tail = words(rng, 30), words(rng, 30)
+    texts = [f"{words(rng, 19)} a {head} b {words(rng, 20)}", f"{words(rng, 19)} c {tail} d {words(rng, 20)}", f"{words(rng, 9)} e {head} {tail} f {words(rng, 10)}", f"{words(rng, 4)} g {head} {tail}"]
+    rows += [(100 + k, text) for k, text in enumerate(texts)]
+    found = [r for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["kind"] == "run"]
+    assert {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in found if r["doc_id"] <= 60} == want
+    assert len({r["class_id"] for r in found if r["doc_id"] <= 60}) == 1 and len({r["class_id"] for r in found if r["doc_id"] >= 100}) == 1
+    covered = {d: {k for r in found if r["doc_id"] == d for k in range(r["start"], r["start"] + r["n_words"])} for d in range(100, 104)}
+    assert covered == {100: set(range(20, 50)), 101: set(range(20, 50)), 102: set(range(10, 70)), 103: set(range(5, 65))}
+    left = [without_words(text, [(r["start"], r["n_words"]) for r in found if r["doc_id"] == 100 + k and not r["kept"]]) for k, text in enumerate(texts)]
+    assert left[:2] == texts[:2] and len(left[3].split()) == 5

@@ -8,17 +8,22 @@ Jaccard similarity of their shingles is computed, and the links that hold are
 closed to components. All occurrences of a component's paragraphs are repeats;
 the first one stays, the others are removals.
 
-A passage may also repeat inside longer paragraphs. Lines of PIECE_LINE words
-or more are therefore also cut where a word pair's hash is the least among its
-neighbours, so that equal passages get equal pieces wherever they stand. Pieces
-found in several documents, where they follow each other over MIN_RUN words,
-are repeats too.
+A passage may also repeat inside longer paragraphs or over several lines. The
+words of a whole text, lines ignored, are therefore searched for windows of
+MIN_RUN words that stand in two rows. Any such window holds the same anchor, the
+least shingle of the window, in both rows; so only windows around anchors of
+several rows are compared. What shared windows cover are runs, exact to the word.
+Runs that share a window are one class, closed to components. Of every window
+the first occurrence stays, so a run is reported in parts where some of its
+words stand first here and others elsewhere.
 
 Scale: paragraphs are reduced to distinct ones before banding; buckets with the
 same members are met once; a bucket is cut into blocks of BLOCK_ROWS and its
 blocks meet pairwise, so that no task holds a large bucket; inside, a union-find
 skips pairs already connected. Texts are read again only for paragraphs that a
 bitmap of fixed size lets pass; its false hits cost a row and change nothing.
+For runs a text's words are kept as 32-bit hashes; groups of anchors and windows
+are only ever aggregated, never gathered in a task.
 
 Edge cases: null and empty texts have no paragraphs; a document is a row, so
 rows with equal or null ids are distinct documents, and a passage repeated
@@ -35,24 +40,28 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm.common import materialize, table, text_slices
 from vexel.llm.components import connected_components
 from vexel.llm.simhash import Forest
+from vexel.operators.placement import with_positions
 
 SHINGLE, THRESHOLD, RECALL, BAND_ROWS = 5, 0.8, 0.995, 3
-MIN_WORDS, PIECE_LINE, MIN_RUN, REACH = SHINGLE, 50, 15, 5
+MIN_WORDS, MIN_RUN = SHINGLE, 15
+#: Words that a task compares at once; a row's number and a word's place in one long.
+SLICE_WORDS = 500_000
+PLACE_BITS = 31
 #: Paragraphs of a bucket that one task compares at once, and the bits of the bitmap of candidates.
 BLOCK_ROWS = 400
 BITMAP_BITS = 1 << 27
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWER = 0xD6E8FEB86659FD93
-_INVERSE = pow(_POWER, -1, 1 << 64)
 
-UNITS = "row long, doc_id long, line int, start int, n_words int, para long, bands array<long>, pieces array<long>, piece_starts array<int>, piece_ends array<int>"
+#: A paragraph, or where line is null a text: hashes of its words, its anchors and their places.
+UNITS = "row long, doc_id long, line int, start int, n_words int, para long, bands array<long>, words array<int>, anchors array<long>, places array<int>"
+RUNS = "run long, start int, n_words int, kept boolean, first long"
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -63,16 +72,20 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return bands
 
 
-def paragraph_words(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(line, first word's number in the text, words) of every paragraph."""
+def line_words(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(line, first word's number in the text, words) of every line."""
     at = 0
     for number, line in enumerate(text.lower().split("\n")):
         words = line.encode().split()
-        if len(words) >= MIN_WORDS:
-            yield number, at, words
+        yield number, at, words
         at += len(words)
 
 
+def paragraph_words(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The same of every paragraph."""
+    return (line for line in line_words(text) if len(line[2]) >= MIN_WORDS)
+
+
 def paragraph_key(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
@@ -82,19 +95,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every `size` neighbouring words."""
+    out = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
+    for k in range(size):
+        out = _mix(out + hashes[k : k + len(out)])
+    return out
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = BAND_ROWS) -> np.ndarray:
     """Band keys (paragraphs x bands). hashes: word hashes of all paragraphs end to end; starts: where each begins."""
     ends = np.append(starts[1:], len(hashes))
-    shingle = np.zeros(len(hashes) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        shingle = _mix(shingle + hashes[k : k + len(shingle)])
+    shingle = gram_hashes(hashes, SHINGLE)
     whole = np.ones(len(hashes), bool)
     for k in range(1, SHINGLE):
         whole[ends - k] = False
@@ -111,59 +123,63 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = B
     return out
 
 
-def cut_pieces(hashes: np.ndarray, line_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the pieces between neighbouring cuts of one line, in word numbers."""
-    n = len(hashes)
-    pair = _mix(hashes + _mix(np.append(hashes[1:], np.uint64(0))))
-    cut = np.ones(n, bool)
-    for d in range(1, min(REACH, n - 1) + 1):
-        same = line_of[d:] == line_of[:-d]
-        cut[d:] &= ~same | (pair[d:] < pair[:-d])
-        cut[:-d] &= ~same | (pair[:-d] <= pair[d:])
-    at = np.flatnonzero(cut)
-    inside = line_of[at[1:]] == line_of[at[:-1]]
-    start, end = at[:-1][inside], at[1:][inside]
-    total = np.append(np.uint64(0), np.cumsum(hashes * _powers(_POWER, n), dtype=np.uint64))
-    key = (total[end] - total[start]) * _powers(_INVERSE, n)[start]
-    return start, end, _mix(key + (end - start).astype(np.uint64))
+def anchors_of(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles that are the least of a window of MIN_RUN words within one text."""
+    n = len(hashes) - MIN_RUN + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    grams = gram_hashes(hashes, SHINGLE)
+    least, at = grams[:n].copy(), np.zeros(n, np.int64)
+    for d in range(1, MIN_RUN - SHINGLE + 1):
+        less = grams[d : d + n] < least
+        least[less] = grams[d : d + n][less]
+        at[less] = d
+    inside = np.flatnonzero(text_of[:n] == text_of[MIN_RUN - 1 :])
+    chosen = np.zeros(len(grams), bool)
+    chosen[inside + at[inside]] = True
+    place = np.flatnonzero(chosen)
+    return place, grams[place]
 
 
 def _units(bands: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = [f.split() for f in UNITS.split(", ")]
+    names, types = [n for n, _ in schema], [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}[t] for _, t in schema]
+
+    def made(rows: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[n].cast(t) if n in columns else pa.nulls(rows, t) for n, t in zip(names, types, strict=True)], names)
+
+    def listed(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
     for row_ids, ids, texts in text_slices(batches, ["row", "doc_id", "text"]):
-        found, words = [], []
+        found, words, lengths = [], [], []
         for row, doc_id, text in zip(row_ids, ids, texts, strict=True):
-            for line, start, own in paragraph_words(text or ""):
-                found.append((row, doc_id, line, start, len(own), paragraph_key(own)))
+            begin = len(words)
+            for line, start, own in line_words(text or ""):
+                if len(own) >= MIN_WORDS:
+                    found.append((row, doc_id, line, start, len(own), paragraph_key(own), begin + start))
                 words.extend(own)
-        if not found:
-            continue
+            lengths.append(len(words) - begin)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        rows, docs, lines, first, sizes, keys = zip(*found, strict=True)
-        sizes = np.array(sizes, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        band_keys = signatures(hashes, starts, bands).view(np.int64)
-        long_line = np.repeat(sizes >= PIECE_LINE, sizes)
-        line_of = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.flatnonzero(long_line)
-        if len(place) > 1:
-            p_start, p_end, p_key = cut_pieces(hashes[place], line_of[place])
-            owner = line_of[place][p_start]
-            p_start, p_end = place[p_start] - starts[owner], place[p_end - 1] + 1 - starts[owner]
-        else:
-            p_start = p_end = owner = np.empty(0, np.int64)
-            p_key = np.empty(0, np.uint64)
-        offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
-
-        def listed(values: pa.Array, offsets=offsets) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-        columns = [
-            pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(first, pa.int32()), pa.array(sizes.astype(np.int32)),
-            pa.array(np.array(keys, np.uint64).view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * bands, bands, dtype=np.int32)), pa.array(band_keys.ravel())),
-            listed(pa.array(p_key.view(np.int64))), listed(pa.array(p_start.astype(np.int32))), listed(pa.array(p_end.astype(np.int32))),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in UNITS.split(", ")])
+        if found:
+            rows, docs, lines, first, sizes, keys, places = zip(*found, strict=True)
+            sizes = np.array(sizes, np.int64)
+            starts = np.cumsum(sizes) - sizes
+            place = np.arange(sizes.sum()) + np.repeat(np.array(places) - starts, sizes)
+            band_keys = signatures(hashes[place], starts, bands).view(np.int64)
+            yield made(len(rows), {
+                "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "line": pa.array(lines, pa.int32()), "start": pa.array(first, pa.int32()),
+                "n_words": pa.array(sizes), "para": pa.array(np.array(keys, np.uint64).view(np.int64)), "bands": listed(np.arange(len(rows) + 1) * bands, band_keys.ravel()),
+            })
+        lengths = np.array(lengths, np.int64)
+        begins = np.cumsum(lengths) - lengths
+        text_of = np.repeat(np.arange(len(lengths)), lengths)
+        place, anchor = anchors_of(hashes, text_of)
+        offsets = np.searchsorted(place, np.append(begins, len(words)))
+        yield made(len(row_ids), {
+            "row": pa.array(row_ids, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "words": listed(np.append(begins, len(words)), hashes.astype(np.uint32).view(np.int32)),
+            "anchors": listed(offsets, anchor.view(np.int64)), "places": listed(offsets, (place - begins[text_of[place]]).astype(np.int32)),
+        })
 
 
 def _passing(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,30 +276,114 @@ def repeated_paragraphs(docs: DataFrame, units: DataFrame, threshold: float = TH
     return met.select("row", "doc_id", "start", "n_words", "class_id", kept.alias("kept"), F.lit("paragraph").alias("kind"))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (no, words, places of anchors): number and place, and hash, of the windows that hold one of the anchors."""
+    for whole in batches:
+        ends = np.asarray(whole.column(1).offsets)[1:] - whole.column(1).offsets[0].as_py()
+        at = 0
+        while at < whole.num_rows:
+            done = ends[at - 1] if at else 0
+            rows = max(1, int(np.searchsorted(ends, done + SLICE_WORDS)) - at)
+            batch = whole.slice(at, rows)
+            at += rows
+            no, words, places = (batch.column(i) for i in range(3))
+            lengths = np.diff(np.asarray(words.offsets)).astype(np.int64)
+            begins = np.cumsum(lengths) - lengths
+            ids = _mix(np.asarray(words.flatten()).view(np.uint32).astype(np.uint64))
+            n = len(ids) - MIN_RUN + 1
+            if n <= 0:
+                continue
+            text_of = np.repeat(np.arange(len(lengths)), lengths)
+            begin = np.repeat(begins, np.diff(np.asarray(places.offsets)))
+            place = np.asarray(places.flatten()) + begin
+            change = np.zeros(len(ids) + 1, np.int64)
+            np.add.at(change, np.maximum(place - (MIN_RUN - SHINGLE), begin), 1)
+            np.add.at(change, place + 1, -1)
+            near = np.cumsum(change[:n]) > 0
+            start = np.flatnonzero(near & (text_of[:n] == text_of[MIN_RUN - 1 :]))
+            owner = text_of[start]
+            key = (np.asarray(no)[owner] << PLACE_BITS) | (start - begins[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram_hashes(ids, MIN_RUN)[start].view(np.int64))], ["at", "key"])
+
+
+def runs_of(at: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """The columns of RUNS for sorted windows `at`, each with its first occurrence: a run's parts, then its links to first occurrences."""
+    low = (1 << PLACE_BITS) - 1
+    step, begins = np.diff(at), np.ones(len(at), bool)
+    begins[1:] = step >= MIN_RUN  # of another row too
+    run_of = np.cumsum(begins) - 1
+    run = at[begins]
+    ends = at[np.append(begins[1:], True)] + MIN_RUN
+    sizes = ends - run
+    base = np.cumsum(sizes) - sizes
+    own = (base[run_of] + at - run[run_of])[at == first]
+    change = np.zeros(sizes.sum() + 1, np.int64)
+    np.add.at(change, own, 1)
+    np.add.at(change, own + MIN_RUN, -1)
+    kept = np.cumsum(change[:-1]) > 0
+    edge = np.append(True, kept[1:] != kept[:-1])
+    edge[base] = True
+    cut = np.flatnonzero(edge)
+    part_of = np.searchsorted(base, cut, "right") - 1
+    chain = begins.copy()
+    chain[1:] |= (step != 1) | (np.diff(first) != 1)
+    chain &= first != at
+    n, m = len(cut), int(chain.sum())
+    start = (run[part_of] & low) + cut - base[part_of]
+    return [
+        pa.array(np.append(run[part_of], run[run_of][chain])), pa.array([*start.tolist(), *[None] * m], pa.int32()), pa.array([*np.diff(np.append(cut, len(kept))).tolist(), *[None] * m], pa.int32()),
+        pa.array([*kept[cut].tolist(), *[None] * m], pa.bool_()), pa.array([*[None] * n, *first[chain].tolist()], pa.int64()),
+    ]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, first), those of a text one after another in order."""
+    names = [f.split()[0] for f in RUNS.split(", ")]
+    rest = np.empty((2, 0), np.int64)
+    for batch in batches:
+        both = np.concatenate([rest, np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])], axis=1)
+        if not both.shape[1]:
+            continue
+        # the last text may go on in the next batch
+        whole = int(np.searchsorted(-(both[0] >> PLACE_BITS != both[0, -1] >> PLACE_BITS).astype(np.int8), 0))
+        rest = both[:, whole:]
+        if whole:
+            yield pa.RecordBatch.from_arrays(runs_of(both[0, :whole], both[1, :whole]), names)
+    if rest.shape[1]:
+        yield pa.RecordBatch.from_arrays(runs_of(rest[0], rest[1]), names)
+
+
+def _number(place: str) -> Column:
+    return F.shiftright(place, PLACE_BITS)
+
+
 def repeated_runs(units: DataFrame) -> DataFrame:
-    """The same of passages inside long lines: neighbouring pieces that stand in several documents."""
-    piece = F.explode(F.arrays_zip("pieces", "piece_starts", "piece_ends"))
-    cut = units.select("row", "doc_id", "line", "start", piece.alias("p"))
-    cut = cut.select("row", "doc_id", "line", "start", F.col("p.pieces").alias("piece"), F.col("p.piece_starts").alias("lo"), F.col("p.piece_ends").alias("hi"))
-    several = cut.groupBy("piece").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select("piece", "first")
-    found = cut.join(several, "piece")
-    # neighbouring pieces of one line join to runs; a line's pieces are few
-    line = Window.partitionBy("row", "line").orderBy("lo")
-    begins = (F.col("lo") != F.lag("hi").over(line)) | F.lag("hi").over(line).isNull()
-    runs = found.withColumn("begins", begins.cast("int"))
-    runs = runs.withColumn("run", F.sum("begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("row", "line", "run").agg(
-        F.any_value("doc_id").alias("doc_id"), (F.min("lo") + F.any_value("start")).alias("start"), F.sum(F.col("hi") - F.col("lo")).cast("int").alias("n_words"),
-        F.min("piece").alias("class_id"), F.bool_and(F.col("first") == F.col("row")).alias("kept"),
-    ).where(F.col("n_words") >= MIN_RUN)
-    return runs.select("row", "doc_id", "start", "n_words", "class_id", "kept", F.lit("run").alias("kind"))
+    """The same of passages inside and over lines: what windows of MIN_RUN words that stand in several rows cover."""
+    texts = units.where("line IS NULL").select("row", "doc_id", "words", "anchors", "places")
+    numbered = with_positions(texts.select(F.col("doc_id").isNull().alias("null"), "doc_id", "row"), ["null", "doc_id", "row"], "no")
+    numbered = materialize(numbered.select("row", "doc_id", F.col("no").cast("long").alias("no")), "numbers")
+    cut = texts.select("row", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("row", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
+    several = cut.groupBy("anchor").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("anchor")
+    near = cut.join(several, "anchor").groupBy("row").agg(F.collect_list("place").alias("near")).join(numbered.select("row", "no"), "row")
+    windows = texts.select("row", "words").join(near, "row").select("no", "words", "near").mapInArrow(_windows, "at long, key long")
+    windows = materialize(windows, "windows")
+    firsts = windows.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(_number("first") != _number("last")).select("key", "first")
+    shared = windows.join(firsts, "key").select(_number("at").alias("no"), "at", "first")
+    found = materialize(shared.repartition("no").sortWithinPartitions("at").select("at", "first").mapInArrow(_runs, RUNS), "runs")
+    parts, links = found.where("first IS NULL").drop("first"), found.where("first IS NOT NULL").select("run", "first")
+    whole = parts.groupBy("run").agg(F.max(F.col("start") + F.col("n_words")).alias("end")).select(F.col("run").alias("leader"), "end", _number("run").alias("no"))
+    asked = links.select("first", _number("first").alias("no"), F.col("first").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")).distinct()
+    met = asked.join(whole, "no").where((F.col("first") >= F.col("leader")) & (F.col("place") < F.col("end"))).select("first", "leader")
+    groups = connected_components(links.join(met, "first").select("run", "leader"))
+    named = parts.join(groups, parts["run"] == groups["node"], "left").select("start", "n_words", "kept", F.coalesce("component", "run").alias("class_id"), _number("run").alias("no"))
+    return named.join(numbered, "no").select("row", "doc_id", "start", "n_words", "class_id", "kept", F.lit("run").alias("kind"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Repeated passages: row, doc_id, first word's number, words, class_id, kept (false: to be removed) and kind."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     units = materialize(rows.mapInArrow(partial(_units, bands_for(threshold)), UNITS), "paragraphs")
-    return repeated_paragraphs(rows, units, threshold).union(repeated_runs(units))
+    return repeated_paragraphs(rows, units.where("line IS NOT NULL"), threshold).union(repeated_runs(units))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
