@@ -79,3 +79,22 @@ def test_odd_rows_and_redaction(spark, odd_docs, no_docs, model):
     assert rows[1]["text"] == "mail <EMAIL> and <IP>, password=<SECRET> end" and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["text"] is None
     assert redacted("abcdef", [(1, 0, 3), (2, 1, 5)]) == "a<EMAIL>f"
     assert all_spans(["x 4111 1111 1111 1111"], model)[0][0] == [(2, 2, 21)] and train_model([]) is None
+
+
+def test_secrets_without_digits_short_or_in_parts(model):
+    rng = random.Random(3)
+    filler = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000))
+    for secret in ("correcthorse", "aB3-xY9-kL2", "hunter2"):
+        for text in (f"my password: {secret}", f"{filler} password: {secret} {filler}"):
+            start = text.index(secret)
+            assert secret_spans([text], model) == [[(start, start + len(secret))]], secret
+    assert secret_spans([filler, "", "the password is not here, nor the key"], model) == [[], [], []]
+
+
+def test_long_texts_decode_like_whole_ones(model):
+    text = " ".join(t for t, _, _ in labelled_sentences(200, seed=8))
+    words = crf.TOKEN.findall(text)
+    whole = model.decode([crf.features(words)])[0]
+    places = [m.span() for m in crf.TOKEN.finditer(text)]
+    starts = [places[k][0] for k, label in enumerate(whole) if label == 1]
+    assert len(words) > 1500 and [s for s, _ in secret_spans([text], model)[0]] == starts

@@ -68,7 +68,10 @@ class ChainModel:
         if not rows:
             return []
         x, lengths = self.pad(rows)
-        scores = self.emit[x].sum(axis=2)
+        return [labels[:n].tolist() for labels, n in zip(self.best(self.emit[x].sum(axis=2), lengths), lengths, strict=True)]
+
+    def best(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Viterbi over a padded batch of token scores: labels (batch, length)."""
         n, width, k = scores.shape
         best = self.start + scores[:, 0]
         back = np.zeros((n, width, k), np.int8)
@@ -78,17 +81,63 @@ class ChainModel:
             back[:, t] = paths.argmax(axis=1)
             best = paths.max(axis=1) + scores[:, t]
             ends = np.where((lengths == t + 1)[:, None], best, ends)
-        last = ends.argmax(axis=1)
-        out = []
-        for i in range(n):
-            label, path = int(last[i]), []
-            for t in range(lengths[i] - 1, -1, -1):
-                path.append(label)
-                label = int(back[i, t, label])
-            out.append(path[::-1])
+        out, label, rows = np.zeros((n, width), np.int8), ends.argmax(axis=1), np.arange(n)
+        for t in range(width - 1, -1, -1):
+            out[:, t] = label
+            if t:
+                label = np.where(t < lengths, back[rows, t, label], label)
         return out
 
 
+class Lexicon:
+    """Scores of tokens by word and by their neighbours' shapes; as `features` gives them, but each word is read once."""
+
+    WORDS = 200_000
+
+    def __init__(self, model: ChainModel) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        k = len(LABELS)
+        self.ids: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
+        self.own, self.shape_of = np.zeros((self.WORDS, k)), np.zeros(self.WORDS, np.int64)
+        self.cue, self.large = np.zeros(self.WORDS, bool), np.zeros(self.WORDS, np.int64)
+        self.before, self.after = [self._of("before=^")], [self._of("after=$")]  # shape 0: the text's edge
+
+    def _of(self, feature: str) -> np.ndarray:
+        return self.model.emit[self.model.numbers.get(feature, len(self.model.numbers))]
+
+    def number(self, word: str) -> int:
+        found = self.ids.get(word)
+        if found is None:
+            found = self.ids[word] = len(self.ids)
+            if found >= len(self.own):  # one text of more distinct words
+                self.own, self.shape_of, self.cue, self.large = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.shape_of, self.cue, self.large))
+            row = features([word])[0]
+            self.own[found] = sum(self._of(f) for f in row[:7])
+            kind = shape(word)
+            if kind not in self.shapes:
+                self.shapes[kind] = len(self.before)
+                self.before.append(self._of(f"before={kind}"))
+                self.after.append(self._of(f"after={kind}"))
+            self.shape_of[found], self.cue[found], self.large[found] = self.shapes[kind], word.lower() in CUES, min(len(word) // 4, 6) > 2
+        return found
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(tokens, labels) of one text."""
+        if len(self.ids) > self.WORDS // 2:
+            self.clear()
+        ids = np.fromiter(map(self.number, words), np.int64, len(words))
+        kinds = np.concatenate([[0], self.shape_of[ids], [0]])
+        cue, own = np.zeros(len(ids), np.int64), self.cue[ids]
+        for d in range(1, 4):
+            cue[d:] |= own[:-d]
+        announced = np.array([[self._of(f"cue={c}/{large}") for large in (False, True)] for c in (False, True)])
+        return self.own[ids] + np.array(self.before)[kinds[:-2]] + np.array(self.after)[kinds[2:]] + announced[cue, self.large[ids]]
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))

@@ -2,10 +2,9 @@
 
 The base patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers. The CRF, trained on a small labelled table of sentences, adds spans of
-kind ``secret``: keys, tokens and passwords. It decodes windows of tokens around
-every run of letters and digits that holds a digit and has SECRET_CHARS or more
-characters; tokens outside such windows are outside any secret. A span of the
-CRF that meets a base span is left out; base spans always stay.
+kind ``secret``: keys, tokens and passwords. It decodes all tokens of every text,
+long ones in pieces of PIECE tokens that see MARGIN tokens on either side. A span
+of the CRF that meets a base span is left out; base spans always stay.
 
 Edge cases: null and empty texts have no spans; null ids are kept; repeated rows
 give repeated rows; overlapping base spans of different kinds are all reported;
@@ -20,6 +19,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ from vexel.llm.common import table, text_slices
 #: Kinds in their order within a position (the first four fixed).
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-#: Characters a token needs to be a candidate, tokens on each side of it that the CRF sees, characters searched for them.
-SECRET_CHARS, WINDOW, REACH = 8, 5, 48
+#: Tokens of a text that are decoded together, and tokens on each side of them that are decoded with them and left.
+PIECE, MARGIN = 512, 64
 #: Tokens, padding included, decoded in one numpy batch (a longer window alone).
 BATCH_TOKENS = 60_000
 
@@ -41,7 +41,6 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_ALNUM_END = re.compile(r"[^\W_]*")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -84,61 +83,58 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of letters and digits with a digit and at least SECRET_CHARS characters."""
-    at = 0
-    while digit := _DIGITS.search(text, at):
-        start, at = digit.start(), _ALNUM_END.match(text, digit.end()).end()
-        while start > 0 and text[start - 1].isalnum():
-            start -= 1
-        if at - start >= SECRET_CHARS:
-            yield start, at
-
-
-def windows(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str], set[int]]]:
-    """Token places, tokens and the places of candidates, for each stretch of candidates that stand close together."""
-    group: list[tuple[int, int]] = []
-
-    def tokens() -> tuple[list[tuple[int, int]], list[str], set[int]]:
-        left = max(0, group[0][0] - REACH)
-        cut = list(crf.TOKEN.finditer(text, left, min(len(text), group[-1][1] + REACH)))
-        own = {s for s, _ in group}
-        active = [i for i, m in enumerate(cut) if m.start() in own]
-        near = cut[max(0, active[0] - WINDOW) : active[-1] + WINDOW + 1] if active else []
-        return [m.span() for m in near], [m[0] for m in near], own
-
-    for start, end in candidates(text):
-        if group and start - group[-1][1] > REACH:
-            yield tokens()
-            group = []
-        group.append((start, end))
-    if group:
-        yield tokens()
-
-
 def secret_spans(texts: list[str], model: crf.ChainModel | None) -> list[list[tuple[int, int]]]:
     """Spans that the CRF labels, for each text."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if model is None:
         return out
-    pending = [(i, *w) for i, text in enumerate(texts) for w in windows(text) if w[1]]
-    pending.sort(key=lambda p: len(p[2]))
-    at = 0
-    while at < len(pending):
-        size = 1
-        while at + size < len(pending) and (size + 1) * len(pending[at + size][2]) <= BATCH_TOKENS:
-            size += 1
-        part = pending[at : at + size]
-        at += size
-        for (i, places, _, own), labels in zip(part, model.decode([crf.features(words) for _, _, words, _ in part]), strict=True):
-            start = None
-            for k, label in enumerate([*labels, 0]):
-                if start is not None and label != 2:
-                    if any(places[j][0] in own for j in range(start, k)):
-                        out[i].append((places[start][0], places[k - 1][1]))
-                    start = None
-                if label == 1:
-                    start = k
+    if (lexicon := model.__dict__.get("lexicon")) is None:
+        lexicon = model.__dict__["lexicon"] = crf.Lexicon(model)
+    labels: dict[int, np.ndarray] = {}
+    pending: list[tuple[int, int, int, np.ndarray]] = []  # text, first token kept, tokens before it, scores
+    held = 0
+
+    def decode() -> None:
+        pending.sort(key=lambda p: len(p[3]))
+        at = 0
+        while at < len(pending):
+            size = 1
+            while at + size < len(pending) and (size + 1) * len(pending[at + size][3]) <= BATCH_TOKENS:
+                size += 1
+            part = pending[at : at + size]
+            at += size
+            lengths = np.array([len(p[3]) for p in part])
+            scores = np.zeros((size, lengths.max(), len(crf.LABELS)))
+            for row, p in zip(scores, part, strict=True):
+                row[: len(p[3])] = p[3]
+            for (i, start, before, own), found in zip(part, model.best(scores, lengths), strict=True):
+                kept = found[before : min(before + PIECE, len(own))]
+                labels[i][start : start + len(kept)] = kept
+        pending.clear()
+
+    for i, text in enumerate(texts):
+        if not (words := crf.TOKEN.findall(text)):
+            continue
+        scores = lexicon.scores(words)
+        labels[i] = np.zeros(len(words), np.int8)
+        for start in range(0, len(words), PIECE):
+            low = max(0, start - MARGIN)
+            pending.append((i, start, start - low, scores[low : start + PIECE + MARGIN]))
+        held += len(words)
+        if held > 8 * BATCH_TOKENS:
+            decode()
+            held = 0
+    decode()
+    for i, own in labels.items():
+        if not (own == 1).any():
+            continue
+        places, start = [m.span() for m in crf.TOKEN.finditer(texts[i])], None
+        for k, label in enumerate([*own.tolist(), 0]):
+            if start is not None and label != 2:
+                out[i].append((places[start][0], places[k - 1][1]))
+                start = None
+            if label == 1:
+                start = k
     return out
 
 
@@ -179,6 +175,8 @@ def labelled_sentences(n: int = 360, seed: int = 7) -> list[tuple[str, int, int]
         lambda: (f'{rng.choice(("password", "passwd", "key", "secret"))}{rng.choice((":", ": ", "=", " = "))}', text_of(letters + upper, rng.randint(9, 24)), ""),
         lambda: ("", "A" + rng.choice(("KIA", "SIA")) + text_of(upper, 16), ""),
         lambda: ("", "gh" + rng.choice("pos") + text_of(letters + upper, 30), ""),
+        lambda: (f'{rng.choice(("password", "passwd", "pwd", "secret"))}{rng.choice((":", ": ", "=", " = "))}', "".join(rng.choice(letters) for _ in range(rng.randint(5, 16))), ""),
+        lambda: (f'{rng.choice(("password", "token", "key", "secret"))}{rng.choice((":", ": ", "=", " = "))}', "-".join(text_of(letters + upper, rng.randint(3, 5)) for _ in range(rng.randint(2, 4))), ""),
     )
     plain = (
         lambda: digits(rng.randint(8, 19)),
