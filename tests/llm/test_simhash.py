@@ -114,3 +114,26 @@ def test_odd_rows(odd_docs, no_docs):
     kept = keep_one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == len(set(classes([fingerprint(r["text"] or "") for r in odd_docs.collect()])))
     assert keep_one_of_each(no_docs).count() == 0
+
+
+def test_rows_kept_though_scans_are_cut_otherwise(spark, tmp_path, monkeypatch):
+    """Between the two uses of the rows the table's partitions change, as when an executor is lost."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(40)]
+    docs = [(i, texts[i % 40]) for i in range(60)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(6).write.parquet(path)
+    name, real = "spark.sql.files.maxPartitionBytes", simhash.components_of
+    before = spark.conf.get(name)
+
+    def moved(*given):
+        out = real(*given)
+        spark.conf.set(name, "4096")
+        return out
+
+    monkeypatch.setattr(simhash, "components_of", moved)
+    try:
+        found = simhash.keep_one_of_each(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r["doc_id"] for r in found) == list(range(40))

@@ -233,11 +233,11 @@ def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs without all but one row of every component: the one with the least id (null ids last), then row.
 
-    Rows are told apart by their place in docs, which should be a table that is
-    read (as between stages), so that their places stay the same.
+    Rows are told apart by their place in docs. The numbered rows are written once
+    and read for both uses: a second scan may be cut otherwise and number them anew.
     """
     row = fresh(docs, "__row")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
     prints = materialize(placed.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_placed_fingerprints, "row long, id long, fp long"), "fingerprints")
     found = components_of(prints.select(F.col("row").alias("doc_id"), "fp"), radius)
     named = found.select(F.col("doc_id").alias("row"), "component_id").join(prints.select("row", "id"), "row")
