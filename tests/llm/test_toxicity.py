@@ -81,3 +81,22 @@ def test_learns_planted_words(spark):
 
 def test_classifier_of_nothing():
     assert Classifier(0.0, {}).score(set()) == 0.5
+
+
+def test_long_obfuscated_words_come_back(model):
+    own = Restorer(model)
+    assert "stupid" in own.words("you st" + "u" * 60 + "pid") and "idiot" in own.words("1d" + "1" * 50 + "0t")
+    assert "stupid" in own.restored("you st" + "u" * 60 + "pid")
+    from time import time
+
+    before = time()
+    assert own.words("a1b2" * 5000) and time() - before < 20
+
+
+def test_spaced_out_sentences_come_back(corpus_rows, model):
+    own = Restorer(model)
+    plain = "the idiot and the moron are stupid and pathetic scum in the trash"
+    for gap in ("  ", "--"):
+        written = gap.join(" ".join(w) for w in plain.split())
+        assert len(plain) > 50 and {"idiot", "moron", "stupid", "pathetic"} <= own.words(written), own.words(written)
+    assert {"idiot", "moron", "stupid"} <= set(own.restored(written).split())

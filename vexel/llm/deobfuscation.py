@@ -3,8 +3,10 @@
 The language model is a trigram model over the letters a to z and the space,
 from counts over all texts. A word that mixes letters with look-alike signs,
 stretches letters, or is spaced out becomes a lattice: every sign offers the
-letters it may stand for, every run of one letter offers one or two of it. The
-best path weighs the channel's cost against the model.
+letters it may stand for, every run of one letter offers one or two of it, and
+between the letters of a spaced-out run a space is offered too, so that whole
+sentences come back as words. The best path weighs the channel's cost against the
+model, in time linear in the length, which has no bound.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import numpy as np
 #: Signs and the letters that they stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou"}
 LETTERS = 27  # a to z, and 0 for everything else
-#: Words longer than this are not obfuscated words, and are left as they are.
-LONGEST = 40
+#: The channel's log-probabilities of a word going on and ending at a gap: where all gaps are alike, of one sign beside wider ones, of two signs beside narrower ones.
+GAP_ALIKE, GAP_NARROW, GAP_WIDE = (0.0, 0.0), (0.0, -7.0), (-4.0, 0.0)
 
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|])){3,}(?![^\W_])")
+_SPACED_LETTER = re.compile(r"([^\W_]|[@$!|])([ .\-_*~]{0,2})")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _EDGE_LEFT, _EDGE_RIGHT = ".,;:?\"'()[]{}<>#%&*-_/\\|~^+=`´“”„«»¿¡…", ".,;:?!\"'()[]{}<>#%&*-_/\\|~^+=`´“”„«»…@$"
 
@@ -59,20 +62,32 @@ class CharModel:
 
     def restore(self, word: str) -> str:
         """The best letters for a word of letters and look-alikes."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
+        return self._best(lattice(word))
+
+    def restore_spaced(self, run: str) -> str:
+        """The best words for a run of spaced-out letters."""
+        return " ".join(self._best(spaced_lattice(run)).split())
+
+    def _best(self, options_of: Iterator[list[tuple[str, float]]]) -> str:
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in options_of:
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in paths.items():
                 for letters, cost in options:
                     x, y, total = a, b, score + cost
                     for c in letters:
-                        k = ord(c) - 96
+                        k = 0 if c == " " else ord(c) - 96
                         total += self.log[x][y][k]
                         x, y = y, k
                     if (x, y) not in after or total > after[(x, y)][0]:
-                        after[(x, y)] = (total, text + letters)
+                        after[(x, y)] = (total, (path, letters))
             paths = after
-        return max(((s + self.log[a][b][0], t) for (a, b), (s, t) in paths.items()), default=(0.0, ""))[1]
+        path = max(((s + self.log[a][b][0], p) for (a, b), (s, p) in paths.items()), key=lambda x: x[0])[1]
+        pieces = []
+        while path:
+            path, letters = path
+            pieces.append(letters)
+        return "".join(reversed(pieces))
 
 
 def folded(char: str) -> str:
@@ -102,9 +117,37 @@ def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
             yield [option for c in choices for option in ((c, cost - 0.4), (c * 2, cost - 1.1))]
 
 
+def spaced_lattice(run: str) -> Iterator[list[tuple[str, float]]]:
+    """The same for every letter of a spaced-out run, and between letters a space or none; letters that repeat are one run where no word ends."""
+    letters = list(_SPACED_LETTER.finditer(run))
+    widths = [len(m[2]) for m in letters[:-1]]
+    costs = [GAP_ALIKE if len(set(widths)) < 2 else GAP_WIDE if w > 1 else GAP_NARROW for w in widths]
+    i = 0
+    while i < len(letters):
+        n = 1
+        while i + n < len(letters) and letters[i + n][1] == letters[i][1] and n < 2:
+            n += 1
+        if n == 2 and i + 2 < len(letters) and letters[i + 2][1] == letters[i][1]:
+            # stretched: all of the run at once
+            while i + n < len(letters) and letters[i + n][1] == letters[i][1]:
+                n += 1
+        own = list(lattice(letters[i][1] * n))
+        i += n
+        if not own:
+            continue
+        options = own[0]
+        if n > 1:
+            on, end = max(costs[i - n : i - 1], key=lambda c: c[1] - c[0])  # the likeliest place of a word's end
+            options = [(c, cost + on) for c, cost in options] + [(f"{c} {c}", cost + end) for c, cost in options if len(c) == 1]
+        yield options
+        if i < len(letters):
+            on, end = costs[i - 1]
+            yield [("", on), (" ", end)]
+
+
 def needs_restoring(word: str) -> bool:
     """Letters among look-alikes, or a stretched letter. word: lower case, without outer punctuation."""
-    if len(word) > LONGEST or len(word) < 3:
+    if len(word) < 3:
         return False
     letters = sum(c.isalpha() for c in word)
     if letters == len(word):
@@ -122,6 +165,7 @@ class Restorer:
 
     def __init__(self, model: CharModel) -> None:
         self.decode = lru_cache(maxsize=100_000)(model.restore)
+        self.decode_spaced = lru_cache(maxsize=10_000)(model.restore_spaced)
 
     def words(self, text: str) -> set[str]:
         """The distinct lower-case words of a text after restoration."""
@@ -147,9 +191,8 @@ class Restorer:
             if needs_restoring(word := text[start:end]):
                 out.add(self.decode(word))
         for found in SPACED.finditer(text):
-            joined = re.sub(r"[ .\-_*~]", "", found[0])
-            if len(joined) <= LONGEST:
-                out.add(self.decode(joined))
+            out.add(self.decode(re.sub(r"[ .\-_*~]", "", found[0])))
+            out.update(self.decode_spaced(found[0]).split())
         return out
 
     def restored(self, text: str) -> str:
@@ -159,5 +202,5 @@ class Restorer:
             word = bare(match[0])
             return match[0].replace(word, self.decode(word), 1) if word and needs_restoring(word) else match[0]
 
-        joined = SPACED.sub(lambda m: self.decode(re.sub(r"[ .\-_*~]", "", m[0])) if len(m[0]) <= 2 * LONGEST else m[0], text.lower())
+        joined = SPACED.sub(lambda m: self.decode_spaced(m[0]), text.lower())
         return re.sub(r"\S+", one, joined)
