@@ -307,11 +307,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     if own is None:
         return items.selectExpr("item_id", "CAST(NULL AS DOUBLE) AS total", "CAST(NULL AS INT) AS rank").limit(0)
     found = top_k(items, own["embedding"], 20, tie_col="item_id")
-    return hybrid_rerank(found, own["text"][:40], K).select("item_id", F.round("total", 6).alias("total"), "rank")
+    return hybrid_rerank(found, own["text"], K).select("item_id", F.round("total", 6).alias("total"), "rank")
 
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").select("item_id", embed(F.col("text"), HashEmbedder()).alias("embedding"))
+    return _read(spark, sf_dir, "documents").select("doc_id", embed(F.col("text"), HashEmbedder()).alias("embedding"))
 
 
 QUERIES: tuple[Query, ...] = (
