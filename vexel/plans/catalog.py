@@ -6,7 +6,6 @@ bits. The query vector is the embedding of vec_id 0.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -22,6 +21,7 @@ from vexel.operators.placement import append_shards, first_fit, with_positions
 from vexel.operators.rerank import WEIGHTS, combined, hybrid_rerank, ranked
 from vexel.operators.search import ARROW, INT8, batch_top_k, scored, top_k
 from vexel.plans.filters import Columns, compile_filters
+from vexel.scratch import scratch_dir
 from vexel.sources.store import VectorTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,7 +116,7 @@ def knn_int8_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
-    found = batch_top_k(rows, rows.where("vec_id < 100").withColumnRenamed("vec_id", "qid"), K)
+    found = batch_top_k(rows, rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), K)
     return _rounded(found, "qid", "vec_id", "rank")
 
 
@@ -237,6 +237,20 @@ def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_shards(with_positions(_embeddings(spark, sf_dir).select("vec_id"), ["vec_id"]), SHARD).select("vec_id", "shard_id")
 
 
+def bulk_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers over a table of many rows, with columns beside the order."""
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return with_positions(events, ["event_id"])
+
+
+def bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and shards of a large insert, as they are read back."""
+    table = VectorTable(spark, _store(spark), shard_size=SHARD)
+    events = _read(spark, sf_dir, "events").select("event_id", F.array("value", "user_id").alias("v"))
+    table.insert_frame(events, "event_id", "v")
+    return table.to_df().select(F.col("unique_id").cast("long").alias("event_id"), "row_num", "shard_id", F.col("embedding")[1].cast("long").alias("user_id"))
+
+
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_assign(spark, sf_dir).groupBy("shard_id").agg(F.count("*").alias("n"))
 
@@ -249,8 +263,7 @@ def shard_first_fit_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vexel-')}"
-    return f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 def migrate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +329,7 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     scan_vectors, get_vector, row_count, l2_norm, l2_normalize, cosine_score_all, knn_top5, knn_k_exceeds_n, knn_filter_label, knn_filter_no_rows, knn_late_materialization,
-    knn_int8, knn_int8_filtered, knn_batch, knn_arrow_kernel, knn_autocut, autocut_scores, autocut_distances, presence_index, insert_union, insert_dup_check, delete_anti, compact_row_numbers,
+    knn_int8, knn_int8_filtered, knn_batch, knn_arrow_kernel, knn_autocut, autocut_scores, autocut_distances, presence_index, insert_union, insert_dup_check, delete_anti, compact_row_numbers, bulk_positions, bulk_insert,
     shard_assign, shard_counts, shard_first_fit_refill, migrate_shards, store_roundtrip, store_search, rerank_combine, text_hash_scores, text_hash_features, fuzzy_ratio,
     hybrid_search, embed_documents,
 )
@@ -381,7 +394,7 @@ ORACLE = {
     "knn_int8_filtered": _top(_INT8, 10, "ASC", "label >= 5"),
     "knn_batch": f"""SELECT qid, vec_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
 CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) - 1 AS INT) AS rank
-FROM embeddings e, embeddings q WHERE q.vec_id < 100) WHERE rank < {K}""",
+FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank < {K}""",
     "knn_arrow_kernel": _top(_COS, 10, "DESC", "label <= 6"),
     "knn_autocut": _cut(_raw_top(10), "-", "", "vec_id, rank, round(score, 6) AS score"),
     "autocut_scores": _cut(_six("DESC"), "-", "user_id", "user_id, event_id, rank, score"),
@@ -391,6 +404,8 @@ FROM embeddings e, embeddings q WHERE q.vec_id < 100) WHERE rank < {K}""",
     "insert_dup_check": "SELECT vec_id FROM (SELECT vec_id * 3 AS vec_id FROM embeddings) n WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = n.vec_id)",
     "delete_anti": "SELECT vec_id, label FROM embeddings WHERE label NOT IN (1, 2)",
     "compact_row_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_num FROM embeddings WHERE label <> 5",
+    "bulk_positions": "SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events",
+    "bulk_insert": f"SELECT event_id, row_num, CAST(row_num // {SHARD} AS INT) AS shard_id, user_id FROM (SELECT event_id, CAST(user_id AS BIGINT) AS user_id, row_number() OVER (ORDER BY event_id) - 1 AS row_num FROM events)",
     "shard_assign": f"SELECT vec_id, CAST(position // {SHARD} AS INT) AS shard_id FROM ({_POSITIONS})",
     "shard_counts": f"SELECT CAST(position // {SHARD} AS INT) AS shard_id, count(*) AS n FROM ({_POSITIONS}) GROUP BY 1",
     "shard_first_fit_refill": _FIRST_FIT,

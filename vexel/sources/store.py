@@ -1,10 +1,12 @@
 """Vector tables: versioned Parquet with snapshot reads, appends, deletes by tombstone, capacity shards and search.
 
 A version is a small manifest that lists data and tombstone folders; a commit
-writes its files first and moves the pointer to the new manifest last, so
-readers always see a whole version and a failed write changes nothing. An insert
-writes only its own rows and a delete only its row numbers; compact() rewrites.
-Writers of one table share a lock; readers take none.
+writes its files first and then creates the new manifest, which fails if another
+writer took its number, so readers always see a whole version and a failed write
+changes nothing. An insert writes only its own rows and a delete only its row
+numbers. Where MERGE_FOLDERS small inserts have gathered, the next one rewrites
+these as one folder; compact() rewrites all. Writers of one table share a lock;
+readers take none.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SCHEMA = T.StructType([
 ])
 #: Rows of one shard unless a table says otherwise (fixed value).
 SHARD_SIZE = 5000
+#: Data folders of fewer than SMALL_ROWS rows that a version lists before they are written together.
+MERGE_FOLDERS, SMALL_ROWS = 32, 100_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,7 @@ class Manifest:
     next_row: int = 0
     data: tuple[str, ...] = ()
     deletes: tuple[str, ...] = field(default=())
+    sizes: tuple[int, ...] = field(default=())  # rows of each data folder
 
 
 def id_key(unique_id: Any) -> tuple[str, str]:
@@ -82,50 +87,60 @@ class VectorTable:
         if not fs.exists(folder):
             return Manifest()
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        versions = sorted(int(n.split(".")[0]) for n in names if n.endswith(".json"))
-        if not versions:
-            return Manifest()
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/_versions/{versions[-1]:010d}.json").collect())
-        loaded = json.loads(text)
-        return Manifest(**{**loaded, "data": tuple(loaded["data"]), "deletes": tuple(loaded["deletes"])})
+        versions = sorted((int(n.split(".")[0]) for n in names if n.endswith(".json")), reverse=True)
+        for version in versions:
+            text = "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/_versions/{version:010d}.json").collect())
+            try:
+                loaded = json.loads(text)
+            except json.JSONDecodeError:
+                continue  # a writer died before it was whole; its number stays taken
+            return Manifest(**{**loaded, **{k: tuple(loaded[k]) for k in ("data", "deletes", "sizes")}, "version": versions[0]})
+        return Manifest(version=versions[0] if versions else 0)
 
     def _commit(self, manifest: Manifest) -> None:
-        """Write the manifest beside its name and rename it; a name that is taken means another writer was first."""
+        """Create the manifest under its number, if nobody has done so."""
         fs, folder = self._fs(f"{self.path}/_versions")
         fs.mkdirs(folder)
-        _, hidden = self._fs(f"{self.path}/_versions/.{uuid.uuid4().hex}")
-        out = fs.create(hidden, True)
-        out.write(bytearray(json.dumps(asdict(manifest)).encode()))
-        out.close()
         _, name = self._fs(f"{self.path}/_versions/{manifest.version:010d}.json")
-        if fs.exists(name) or not fs.rename(hidden, name):
-            fs.delete(hidden, False)
-            raise RuntimeError(f"version {manifest.version} of {self.path} was committed by another writer")
+        try:
+            out = fs.create(name, False)
+            out.write(bytearray(json.dumps(asdict(manifest)).encode()))
+            out.close()
+        except Exception as error:
+            raise RuntimeError(f"version {manifest.version} of {self.path} was committed by another writer") from error
         self.manifest = manifest
 
     def _write(self, rows: DataFrame, kind: str) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
-        writer = rows.write
-        (writer.partitionBy("shard_id") if kind == "data" else writer).parquet(f"{self.path}/{name}")
+        rows.write.parquet(f"{self.path}/{name}")
         return name
 
+    def _rows(self, folder: str) -> int:
+        return self.spark.read.parquet(f"{self.path}/{folder}").count()
+
+    def _merged(self, manifest: Manifest) -> Manifest:
+        """The manifest with its small folders written as one, once they are many."""
+        small = [d for d, n in zip(manifest.data, manifest.sizes, strict=True) if n < SMALL_ROWS]
+        if len(small) < MERGE_FOLDERS:
+            return manifest
+        folder = self._write(self._read(small).coalesce(1 + sum(manifest.sizes) // (8 * SMALL_ROWS)), "data")
+        large = [(d, n) for d, n in zip(manifest.data, manifest.sizes, strict=True) if n >= SMALL_ROWS]
+        kept = [*large, (folder, self._rows(folder))]
+        return replace(manifest, data=tuple(d for d, _ in kept), sizes=tuple(n for _, n in kept))
+
     def to_df(self, manifest: Manifest | None = None) -> DataFrame:
         """The live rows of a version (the current one)."""
         manifest = manifest or self.manifest
         if not manifest.data:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self._union(manifest.data)
+        rows = self._read(manifest.data)
         if manifest.deletes:
             gone = self.spark.read.schema("row_num long").parquet(*[f"{self.path}/{d}" for d in manifest.deletes])
             rows = rows.join(gone, "row_num", "left_anti")
         return rows.select(*SCHEMA.names)
 
-    def _union(self, names: Iterable[str]) -> DataFrame:
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{d}").select(*SCHEMA.names) for d in names]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.union(part)
-        return out
+    def _read(self, folders: Iterable[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{d}" for d in folders])
 
     def compact(self) -> None:
         """Rewrite the live rows as one data folder, with row numbers closed up in order."""
@@ -133,8 +148,15 @@ class VectorTable:
             rows = with_positions(self.to_df().drop("shard_id").withColumnRenamed("row_num", "old"), ["old"], "row_num").drop("old")
             rows = append_shards(rows, self.shard_size if self.sharded else 1 << 31, "row_num").select(*SCHEMA.names)
             n = self.count()
-            data = (self._write(rows, "data"),) if n else ()
-            self._commit(replace(self.manifest, version=self.manifest.version + 1, next_row=n, data=data, deletes=()))
+            data = (self._checked(rows, n),) if n else ()
+            self._commit(replace(self.manifest, version=self.manifest.version + 1, next_row=n, data=data, deletes=(), sizes=(n,) if n else ()))
+
+    def _checked(self, rows: DataFrame, n: int) -> str:
+        """A data folder with the rows, which must be n."""
+        folder = self._write(rows, "data")
+        if (written := self._rows(folder)) != n:
+            raise RuntimeError(f"{written} rows were written where {n} were expected; nothing is committed")
+        return folder
 
     persist_to_disk = compact
 
@@ -217,9 +239,9 @@ class VectorTable:
             size = self.shard_size if self.sharded else 1 << 31
             placed = first_fit(new, live.groupBy("shard_id").agg(F.count("*").alias("n")), size)
             rows = placed.withColumn("row_num", F.col("position") + self.manifest.next_row).select(*SCHEMA.names)
-            data = self._write(rows, "data")
-            m = self.manifest
-            self._commit(replace(m, version=m.version + 1, dimension=dimension, next_row=m.next_row + n, data=(*m.data, data)))
+            data = self._checked(rows, n)
+            m = self._merged(self.manifest)
+            self._commit(replace(m, version=m.version + 1, dimension=dimension, next_row=m.next_row + n, data=(*m.data, data), sizes=(*m.sizes, n)))
 
     def delete_embedding(self, unique_id: Any) -> None:
         self.delete_embeddings_batch([unique_id])
