@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vexel.scratch import materialize, scratch_dir
+
+__all__ = ["fresh", "materialize", "scratch_dir", "ship", "table", "text_slices"]
+
 #: Rows of an Arrow batch that Python code holds as objects at once, and the bytes of text after which a slice ends.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
@@ -30,27 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='vexel-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a reread and not a
-    recomputation, and every later use sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/vexel-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}
