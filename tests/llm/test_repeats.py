@@ -7,8 +7,9 @@ from vexel.llm.substring_dedup import bands_for, find_repeats, op1_paragraph_min
 
 
 def classes(rows):
-    """(doc, start) -> class of the paragraphs that repeat, by shared shingles of all pairs."""
-    lines = [(i, start, b" ".join(words)) for i, text in rows for _, start, words in paragraph_words(text or "")]
+    """(doc, start) -> class of the paragraphs that repeat, by shared shingles of all pairs; of equal texts the first counts."""
+    firsts = {text: i for i, text in sorted(rows, key=lambda r: -r[0])}
+    lines = [(i, start, b" ".join(words)) for text, i in firsts.items() for start, words in paragraph_words(text)]
     distinct = sorted({x[2] for x in lines})
     number, sets = {x: k for k, x in enumerate(distinct)}, [shingles(x) for x in distinct]
     by_shingle, forest = defaultdict(list), Forest()
@@ -59,8 +60,9 @@ def test_passage_inside_other_text(spark):
 
 
 def test_crowded_buckets(spark, monkeypatch):
-    """Blocks of five rows, and a large group of near copies: the classes stay whole."""
+    """Blocks of five rows, parts of seven, and a large group of near copies: the classes stay whole."""
     monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(substring_dedup, "PART_ROWS", 7)
     rng = random.Random(2)
     base = words(rng, 80).split()
     rows = []
@@ -68,14 +70,17 @@ def test_crowded_buckets(spark, monkeypatch):
         own = list(base)
         own[rng.randrange(80)] = "changed"
         rows.append((i, " ".join(own) if i < 40 else words(rng, 60)))
-    found = {(r["doc_id"], r["start"]): r["class_id"] for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()}
-    assert {d for d, _ in found} >= set(range(38)) and same_partition(found, classes(rows))
+    everything = find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["start"]): r["class_id"] for r in everything if r["kind"] == "paragraph"}
+    assert {r["doc_id"] for r in everything} >= set(range(38)) and same_partition(found, classes(rows))
 
 
 def test_odd_rows(odd_docs, no_docs):
-    found = find_repeats(odd_docs).where("kind = 'paragraph'").collect()
-    assert {r["n_words"] for r in found} == {120, 30_000} and sum(r["kept"] for r in found) == 2
+    found = find_repeats(odd_docs).collect()
+    by_kind = {k: [r for r in found if r["kind"] == k] for k in ("paragraph", "run", "copy")}
+    assert {r["n_words"] for r in by_kind["copy"]} == {120, 30_000} and len(by_kind["copy"]) == 5 and sum(r["kept"] for r in by_kind["copy"]) == 2
     assert all(r["doc_id"] is not None for r in found if r["kept"])
+    assert not by_kind["run"] and {(r["start"], r["n_words"]) for r in by_kind["paragraph"]} <= {(0, 10)}
     assert find_repeats(no_docs).count() == 0
 
 
@@ -84,12 +89,60 @@ def test_bands_and_removal():
     assert without_words("a b c\nd e\n\nf", [(1, 1), (3, 2)]) == "a c\n\nf"
 
 
-def test_short_lines_are_paragraphs(spark):
+def test_lines_are_joined_to_paragraphs():
+    text = "\n".join(" ".join(f"w{n}x{k}" for k in range(n)) for n in (30, 9, 7, 12, 40, 3))
+    assert [(at, len(own)) for at, own in paragraph_words(text)] == [(0, 30), (30, 28), (58, 43)]
+    assert [(at, len(own)) for at, own in paragraph_words("a b\n\nc d e")] == [(0, 5)] and paragraph_words("a b c d") == [] == paragraph_words(None)
+
+
+def test_short_lines_and_halves(spark):
+    """A passage in lines of 20 words, one over two lines, and one of which a document holds the first half only."""
     rng = random.Random(3)
-    short = [words(rng, n) for n in (5, 9, 24)]
-    rows = [(i, "\n".join([words(rng, 30), short[i % 3], words(rng, 4)])) for i in range(6)]
-    found = find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
-    assert {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in found} == {(i, 30, (5, 9, 24)[i % 3], i < 3) for i in range(6)}
+    wrapped, across, halves = words(rng, 80).split(), words(rng, 55).split(), words(rng, 80).split()
+    rows = []
+    for i in range(6):
+        lines = [words(rng, 20 + i)] + [" ".join(wrapped[k : k + 20]) for k in range(0, 80, 20)]
+        rows.append((i, "\n".join([*lines, words(rng, 20)])))
+        rows.append((10 + i, f"{words(rng, 9 + i)} x{i} {' '.join(across[:27])}\n{' '.join(across[27:])} y{i} {words(rng, 8)}"))
+    rows += [(20 + i, f"{words(rng, 20)} x{i} {' '.join(halves[: 40 if i == 0 else 80])} y{i} {words(rng, 20)}") for i in range(3)]
+    found = [r for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["kind"] == "run"]
+    spans = {(r["doc_id"], r["start"], r["n_words"], r["kept"]) for r in found}
+    assert {(i, 20 + i, 80, i == 0) for i in range(6)} <= spans and {(10 + i, 10 + i, 55, i == 0) for i in range(6)} <= spans
+    assert {s for s in spans if s[0] >= 20} == {(20, 21, 40, True), (21, 21, 40, False), (21, 61, 40, True), (22, 21, 80, False)}
+
+
+def test_runs_against_all_windows(spark):
+    """Against all windows of the texts: what is found is shared, what is shared over 26 words is found but for ten words at its ends (none, where the first occurrence has them), and every window keeps a copy."""
+    rng = random.Random(6)
+    pool = [words(rng, 90).split() for _ in range(6)]
+    rows = []
+    for i in range(70):
+        own = words(rng, rng.randint(0, 40)).split()
+        for _ in range(rng.randint(1, 3)):
+            passage = rng.choice(pool)
+            low = rng.randint(0, 60)
+            own += passage[low : low + rng.randint(10, 80)] + words(rng, rng.randint(1, 20)).split()
+        rows.append((i, " ".join(own)))
+
+    def windows(size):
+        where = defaultdict(set)
+        for i, text in rows:
+            own = text.split()
+            for k in range(len(own) - size + 1):
+                where[tuple(own[k : k + size])].add((i, k))
+        return {w: at for w, at in where.items() if len({i for i, _ in at}) > 1}
+
+    def covered(size):
+        return {(i, k + d) for at in windows(size).values() for i, k in at for d in range(size)}
+
+    found = [r for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["kind"] == "run"]
+    words_found = [(r["doc_id"], k) for r in found for k in range(r["start"], r["start"] + r["n_words"])]
+    assert len(words_found) == len(set(words_found))
+    inner = {(i, k + d) for at in windows(26).values() for i, k in at for d in range(10, 16)}
+    assert inner <= set(words_found) <= covered(15) and len(covered(26) - set(words_found)) < 0.03 * len(covered(26))
+    gone = {(r["doc_id"], k) for r in found if not r["kept"] for k in range(r["start"], r["start"] + r["n_words"])}
+    left = {i: {k for k in range(len(text.split())) if (i, k) not in gone} for i, text in rows}
+    assert all(any(k + d in left[i] for i, k in at) for at in windows(26).values() for d in range(26))
 
 
 def test_runs_are_whole_passages(spark):

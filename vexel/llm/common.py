@@ -8,14 +8,17 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vexel.scratch import materialize, scratch_dir
 
-__all__ = ["fresh", "materialize", "scratch_dir", "ship", "table", "text_slices"]
+__all__ = ["fresh", "hub_join", "materialize", "scratch_dir", "ship", "table", "text_blocks", "text_slices"]
 
 #: Rows of an Arrow batch that Python code holds as objects at once, and the bytes of text after which a slice ends.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
+#: Keys that hub_join broadcasts at most, and the rows that a key has at least to be one.
+HUB_ROWS = 100_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,6 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hub_join(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in n the rows of that key; total: rows, or more.
+
+    Keys of more rows than HUB_ROWS, and than total / HUB_ROWS, meet their rows by
+    broadcast; there can't be more than HUB_ROWS such keys. The others are shuffled.
+    """
+    limit = max(HUB_ROWS, total // HUB_ROWS)
+    named = [c for c in keyed.columns if c not in (key, "n")]
+    if total <= limit:
+        return rows.join(keyed.drop("n"), key)
+    heavy = keyed.where(F.col("n") > limit).select(key, *[F.col(c).alias(f"__{c}") for c in named], F.lit(True).alias("__heavy"))
+    met = rows.join(F.broadcast(heavy), key, "left")
+    ours = met.where("__heavy").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in named])
+    rest = met.where("__heavy IS NULL").select(*rows.columns).join(keyed.where(F.col("n") <= limit).drop("n"), key)
+    return ours.union(rest.select(*rows.columns, *named))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -41,6 +61,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_blocks(batches: Iterator, columns: list[str], most_bytes: int) -> Iterator[list[list]]:
+    """The slices of text_slices put together to blocks of about most_bytes."""
+    block: list[list] = [[] for _ in columns]
+    held = 0
+    for part in text_slices(batches, columns):
+        for own, new in zip(block, part, strict=True):
+            own.extend(new)
+        held += sum(len(x) for own in part for x in own if isinstance(x, str))
+        if held >= most_bytes:
+            yield block
+            block, held = [[] for _ in columns], 0
+    if block[0]:
+        yield block
+
+
 def text_slices(batches: Iterator, columns: list[str], most_rows: int = SLICE_ROWS) -> Iterator[list[list]]:
     """Arrow batches as lists of Python values, cut so that a slice holds few rows or few bytes of text."""
     for batch in batches:

@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Edges are pairs of longs. Each round is one grouping for each star, whose
-neighbourhood minimum is aggregated before the shuffle; no task gathers a
-node's neighbours. A round's edges are written to the shared folder, which
-cuts the lineage.
+neighbourhood minimum is aggregated before the shuffle. A node with very many
+neighbours, as the stars themselves make, gets its minimum by broadcast
+(`hub_join`), so no task gathers a node's neighbours. A round's edges are written
+to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -11,20 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import materialize
+from vexel.llm.common import hub_join, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to the least node of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return hub_join(both, least, "a", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them. Edges run from the larger to the smaller node."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = hub_join(edges, least, "a", n)
     moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
@@ -44,6 +45,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             break
         before = now
-        current = materialize(_small_star(_large_star(current)), "edges")
+        current = materialize(_small_star(_large_star(current, now[0]), now[0]), "edges")
     # a star forest: every edge runs from a node to its component's least node
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,68 +1,59 @@
 """Operator 1. Repeated passages by paragraph MinHash banding.
 
-Paragraphs are a text's lines of MIN_WORDS words or more, lower-cased: every line
-that holds a shingle. Each has a MinHash signature over its five-word shingles, cut into bands; the number of
-bands is the least that finds pairs at the threshold with the wanted recall.
-Distinct paragraphs that collide in a band meet in a bucket, where the exact
-Jaccard similarity of their shingles is computed, and the links that hold are
-closed to components. All occurrences of a component's paragraphs are repeats;
-the first one stays, the others are removals.
-
-A passage may also repeat inside longer paragraphs or over several lines. The
-words of a whole text, lines ignored, are therefore searched for windows of
-MIN_RUN words that stand in two rows. Any such window holds the same anchor, the
-least shingle of the window, in both rows; so only windows around anchors of
-several rows are compared. What shared windows cover are runs, exact to the word.
-Runs that share a window are one class, closed to components. Of every window
-the first occurrence stays, so a run is reported in parts where some of its
-words stand first here and others elsewhere.
-
-Scale: paragraphs are reduced to distinct ones before banding; buckets with the
-same members are met once; a bucket is cut into blocks of BLOCK_ROWS and its
-blocks meet pairwise, so that no task holds a large bucket; inside, a union-find
-skips pairs already connected. Texts are read again only for paragraphs that a
+A text's lines, lower-cased, are joined to paragraphs of MIN_WORDS words or more;
+what is left at a text's end joins its last paragraph, and a text of fewer words
+is one paragraph if it holds a shingle. Each has a MinHash signature over its
+five-word shingles, cut into bands; the number of bands is the least that finds
+pairs at the threshold with the wanted recall. Distinct paragraphs that collide
+in a band are candidates: in every bucket the least paragraph stands for it and
+meets each of the others, by exact Jaccard similarity of their shingles. In
+buckets that this leaves in several components, the members outside the largest
+one meet all others, so that every pair of a bucket is compared or already
+connected. Links are closed to components. All occurrences of a component's
+paragraphs are repeats; the first one stays, the others are removals.
+
+Passages that are no paragraphs, inside them or across them, are found by
+`vexel.llm.passages` and reported as runs; texts that are copies of a whole other
+text are reported as copies, and everything else looks at the first of them only.
+
+Scale: a task meets the paragraphs of its own block of texts first, so that of a
+bucket that all fall into one row for each block is shuffled; no task gathers a
+bucket: pairs with the representative are rows, and the rest is compared in parts
+of BLOCK_ROWS against PART_ROWS. Texts are read again only for paragraphs that a
 bitmap of fixed size lets pass; its false hits cost a row and change nothing.
-For runs a text's words are kept as 32-bit hashes; groups of anchors and windows
-are only ever aggregated, never gathered in a task.
-
-Edge cases: null and empty texts have no paragraphs; a document is a row, so
-rows with equal or null ids are distinct documents, and a passage repeated
-within one row only is no run, though a repeated line is a repeat anywhere; the
-first occurrence is the one with the least id (null ids last), then row and
-position; an empty table gives no rows; other columns are ignored.
+
+Edge cases: null and empty texts, and texts without a shingle, have no passages;
+a document is a row, so rows with equal or null ids are distinct documents, and a
+passage repeated within one text only is no run, though a repeated paragraph is a
+repeat anywhere; the first occurrence is the one with the least id (null ids
+last), then row and position; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import materialize, table, text_slices
+from vexel.llm.common import materialize, table, text_blocks, text_slices
 from vexel.llm.components import connected_components
+from vexel.llm.passages import BLOCK_BYTES, PLACE_BITS, SHINGLE, gram_hashes, mix, number_of, place_in, repeated_runs, word_hashes
 from vexel.llm.simhash import Forest
 from vexel.operators.placement import with_positions
 
-SHINGLE, THRESHOLD, RECALL, BAND_ROWS = 5, 0.8, 0.995, 3
-MIN_WORDS, MIN_RUN = SHINGLE, 15
-#: Words that a task compares at once; a row's number and a word's place in one long.
-SLICE_WORDS = 500_000
-PLACE_BITS = 31
-#: Paragraphs of a bucket that one task compares at once, and the bits of the bitmap of candidates.
-BLOCK_ROWS = 400
+THRESHOLD, RECALL, BAND_ROWS = 0.8, 0.995, 3
+MIN_WORDS = 25
+#: Members of a bucket outside its largest component that one task holds at once, and members that it compares with them.
+BLOCK_ROWS, PART_ROWS = 400, 4000
+#: Bits of the bitmap of candidates.
 BITMAP_BITS = 1 << 27
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-#: A paragraph, or where line is null a text: hashes of its words, its anchors and their places.
-UNITS = "row long, doc_id long, line int, start int, n_words int, para long, bands array<long>, words array<int>, anchors array<long>, places array<int>"
-RUNS = "run long, start int, n_words int, kept boolean, first long"
-
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
     """The least number of bands of `rows` hashes that finds a pair at the threshold with the wanted probability."""
@@ -72,37 +63,26 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return bands
 
 
-def line_words(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(line, first word's number in the text, words) of every line."""
-    at = 0
-    for number, line in enumerate(text.lower().split("\n")):
-        words = line.encode().split()
-        yield number, at, words
-        at += len(words)
-
-
-def paragraph_words(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """The same of every paragraph."""
-    return (line for line in line_words(text) if len(line[2]) >= MIN_WORDS)
+def paragraph_words(text: str | None) -> list[tuple[int, list[bytes]]]:
+    """(first word's number in the text, words) of every paragraph."""
+    out: list[tuple[int, list[bytes]]] = []
+    at, block = 0, []
+    for line in (text or "").lower().split("\n"):
+        block += line.encode().split()
+        if len(block) >= MIN_WORDS:
+            out.append((at, block))
+            at, block = at + len(block), []
+    if out:
+        out[-1][1].extend(block)
+    elif len(block) >= SHINGLE:
+        out.append((0, block))
+    return out
 
 
 def paragraph_key(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD
-    return x ^ (x >> np.uint64(29))
-
-
-def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every `size` neighbouring words."""
-    out = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
-    for k in range(size):
-        out = _mix(out + hashes[k : k + len(out)])
-    return out
-
-
 def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = BAND_ROWS) -> np.ndarray:
     """Band keys (paragraphs x bands). hashes: word hashes of all paragraphs end to end; starts: where each begins."""
     ends = np.append(starts[1:], len(hashes))
@@ -118,68 +98,67 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = B
         key = np.full(len(starts), band + 1, np.uint64)
         for _ in range(rows):
             a, b = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
-            key = _mix(key + np.minimum.reduceat(_mix(shingle * (a | np.uint64(1)) + b), first))
+            key = mix(key + np.minimum.reduceat(mix(shingle * (a | np.uint64(1)) + b), first))
         out[:, band] = key
     return out
 
 
-def anchors_of(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the shingles that are the least of a window of MIN_RUN words within one text."""
-    n = len(hashes) - MIN_RUN + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = gram_hashes(hashes, SHINGLE)
-    least, at = grams[:n].copy(), np.zeros(n, np.int64)
-    for d in range(1, MIN_RUN - SHINGLE + 1):
-        less = grams[d : d + n] < least
-        least[less] = grams[d : d + n][less]
-        at[less] = d
-    inside = np.flatnonzero(text_of[:n] == text_of[MIN_RUN - 1 :])
-    chosen = np.zeros(len(grams), bool)
-    chosen[inside + at[inside]] = True
-    place = np.flatnonzero(chosen)
-    return place, grams[place]
-
-
-def _units(bands: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = [f.split() for f in UNITS.split(", ")]
-    names, types = [n for n, _ in schema], [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}[t] for _, t in schema]
-
-    def made(rows: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[n].cast(t) if n in columns else pa.nulls(rows, t) for n, t in zip(names, types, strict=True)], names)
-
-    def listed(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
-    for row_ids, ids, texts in text_slices(batches, ["row", "doc_id", "text"]):
-        found, words, lengths = [], [], []
-        for row, doc_id, text in zip(row_ids, ids, texts, strict=True):
-            begin = len(words)
-            for line, start, own in line_words(text or ""):
-                if len(own) >= MIN_WORDS:
-                    found.append((row, doc_id, line, start, len(own), paragraph_key(own), begin + start))
-                words.extend(own)
-            lengths.append(len(words) - begin)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        if found:
-            rows, docs, lines, first, sizes, keys, places = zip(*found, strict=True)
-            sizes = np.array(sizes, np.int64)
-            starts = np.cumsum(sizes) - sizes
-            place = np.arange(sizes.sum()) + np.repeat(np.array(places) - starts, sizes)
-            band_keys = signatures(hashes[place], starts, bands).view(np.int64)
-            yield made(len(rows), {
-                "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "line": pa.array(lines, pa.int32()), "start": pa.array(first, pa.int32()),
-                "n_words": pa.array(sizes), "para": pa.array(np.array(keys, np.uint64).view(np.int64)), "bands": listed(np.arange(len(rows) + 1) * bands, band_keys.ravel()),
-            })
-        lengths = np.array(lengths, np.int64)
-        begins = np.cumsum(lengths) - lengths
-        text_of = np.repeat(np.arange(len(lengths)), lengths)
-        place, anchor = anchors_of(hashes, text_of)
-        offsets = np.searchsorted(place, np.append(begins, len(words)))
-        yield made(len(row_ids), {
-            "row": pa.array(row_ids, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "words": listed(np.append(begins, len(words)), hashes.astype(np.uint32).view(np.int32)),
-            "anchors": listed(offsets, anchor.view(np.int64)), "places": listed(offsets, (place - begins[text_of[place]]).astype(np.int32)),
-        })
+def _banded(bands: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as rows (bucket, para, mate): a paragraph that stands for this block of texts in the bucket is its own mate, another one's mate is that one."""
+    for (texts,) in text_blocks(batches, ["text"], BLOCK_BYTES):
+        found: dict[int, list[bytes]] = {}
+        for text in texts:
+            for _, own in paragraph_words(text):
+                found.setdefault(paragraph_key(own), own)
+        if not found:
+            continue
+        sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
+        hashes = word_hashes([w for own in found.values() for w in own])
+        para = np.repeat(np.fromiter(found, np.uint64, len(found)).view(np.int64), bands)
+        del found
+        bucket = signatures(hashes, np.cumsum(sizes) - sizes, bands).ravel().view(np.int64)
+        order = np.lexsort((para, bucket))
+        bucket, para = bucket[order], para[order]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        mate = np.repeat(para[starts], np.diff(np.append(starts, len(bucket))))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(para), pa.array(mate)], ["bucket", "para", "mate"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _banded, the blocks' representatives of a bucket one after another: the candidate pairs."""
+    last, head = None, None
+    for batch in batches:
+        bucket, para, mate = (np.asarray(batch.column(i)) for i in range(3))
+        if not len(bucket):
+            continue
+        own = para == mate
+        near = [np.stack([bucket, para, mate])[:, ~own]]
+        bucket, para = bucket[own], para[own]
+        if len(bucket):
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            heads = para[starts].copy()
+            if bucket[0] == last:
+                heads[0] = head
+            mate = np.repeat(heads, np.diff(np.append(starts, len(bucket))))
+            near.append(np.stack([bucket, para, mate])[:, para != mate])
+            last, head = bucket[-1], mate[-1]
+        rows = np.concatenate(near, axis=1)
+        if rows.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["bucket", "para", "mate"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, text): the paragraphs of every text that the task has not had."""
+    seen: set[int] = set()
+    for ts, texts in text_slices(batches, ["t", "text"]):
+        rows = []
+        for t, text in zip(ts, texts, strict=True):
+            if t not in seen:
+                seen.add(t)
+                rows += [(t, at, len(own), paragraph_key(own)) for at, own in paragraph_words(text)]
+        if rows:
+            t, at, n, key = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64))], ["t", "start", "n_words", "para"])
 
 
 def _passing(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +167,7 @@ def _passing(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for (texts,) in text_slices(batches, ["text"]):
         found = {}
         for text in texts:
-            for _, _, own in paragraph_words(text or ""):
+            for _, own in paragraph_words(text):
                 key = paragraph_key(own)
                 bit = key % BITMAP_BITS
                 if int(words[bit >> 5]) >> (bit & 31) & 1:
@@ -212,178 +191,122 @@ def similar(a: frozenset, b: frozenset, threshold: float = THRESHOLD) -> bool:
 
 
 def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, lhs, rhs, para, text), those of a pair of blocks one after another: the links that hold, as a spanning forest."""
-    key, paras, sets, forest, links = None, [], [], Forest(), []
-    for batch in batches:
-        buckets, lhs, rhs, ids, texts = (batch.column(i).to_pylist() for i in range(5))
-        for b, x, y, para, text in zip(buckets, lhs, rhs, ids, texts, strict=True):
-            if (b, x, y) != key:
-                key, paras, sets, forest = (b, x, y), [], [], Forest()
-            own = shingles(text)
-            at = len(paras)
+    """Rows (para, mate, text, its mate's text): the pairs that are similar."""
+    known = lru_cache(64)(shingles)  # mates come again
+    for paras, mates, texts, others in text_slices(batches, ["para", "mate", "text", "other"]):
+        held = [(p, m) for p, m, a, b in zip(paras, mates, texts, others, strict=True) if similar(shingles(a), known(b), threshold)]
+        if held:
+            a, b = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _verify_rest(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, part, asks, para, component, text), sorted by the first four: the links between those that ask and those that are asked."""
+    key, held, forest, nodes, links = None, [], Forest(), {}, []
+
+    def node(component: int) -> int:
+        if component not in nodes:
+            nodes[component] = len(nodes)
             forest.add()
-            for other in range(at):
-                if forest.root(other) != forest.root(at) and similar(own, sets[other], threshold):
-                    forest.join(other, at)
-                    links.append((paras[other], para))
-            paras.append(para)
-            sets.append(own)
+        return nodes[component]
+
+    for batch in batches:
+        for bucket, block, part, asks, para, component, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (bucket, block, part) != key:
+                key, held, forest, nodes = (bucket, block, part), [], Forest(), {}
+            own, at = shingles(text), node(component)
+            if not asks:
+                held.append((own, at, para))
+                continue
+            for other, there, name in held:
+                if forest.root(at) != forest.root(there) and similar(own, other, threshold):
+                    forest.join(at, there)
+                    links.append((para, name))
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             links = []
 
 
-def paragraph_links(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) between distinct paragraphs whose shingles' Jaccard similarity reaches the threshold. docs: text."""
-    spark = docs.sparkSession
-    distinct = units.groupBy("para").agg(F.any_value("bands").alias("bands"))
-    banded = distinct.select("para", F.explode("bands").alias("bucket"))
-    mark = F.xxhash64("para").cast("decimal(38,0)")
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark).alias("members")).where("n > 1")
-    # buckets with the same members are met once
-    once = full.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = materialize(banded.join(once, "bucket"), "members")
+def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """bucket, para and mate: the members of every bucket of several distinct paragraphs, linked to the member that stands for it."""
+    banded = texts.select("text").mapInArrow(partial(_banded, bands_for(threshold)), "bucket long, para long, mate long")
+    route = F.when(F.col("para") == F.col("mate"), F.col("bucket")).otherwise(F.xxhash64("para", "bucket"))
+    return materialize(banded.repartition(route).sortWithinPartitions("bucket", "para").mapInArrow(_meeting, "bucket long, para long, mate long"), "candidates")
+
+
+def candidate_texts(texts: DataFrame, paras: DataFrame) -> DataFrame:
+    """para and text of the paragraphs in paras."""
     bit = F.pmod(F.col("para"), F.lit(BITMAP_BITS))  # as of the unsigned key, since the bits divide 2 ** 64
-    bits = members.select("para").distinct().select(bit.alias("bit"))
-    filled = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("bits"))
+    filled = paras.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("bits"))
+    found = filled.toArrow()  # 4 million words at most
     bitmap = np.zeros(BITMAP_BITS >> 5, np.uint32)
-    for part in filled.toLocalIterator():
-        bitmap[part["word"]] = part["bits"]
-    shared = spark.sparkContext.broadcast(bitmap)
-    texts = docs.select("text").mapInArrow(partial(_passing, shared), "para long, text binary")
-    texts = texts.join(members.select("para").distinct(), "para", "left_semi").groupBy("para").agg(F.any_value("text").alias("text"))
-    block = F.pmod(F.xxhash64("para"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("lhs"), F.greatest("block", "other").alias("rhs"), "para").join(texts, "para")
-    dealt = dealt.select("bucket", "lhs", "rhs", "para", "text")
-    met = dealt.repartition("bucket", "lhs", "rhs").sortWithinPartitions("bucket", "lhs", "rhs", "para")
-    return met.mapInArrow(partial(_verify, threshold), "a long, b long")
-
-
-def repeated_paragraphs(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, start, n_words, class_id and kept of every paragraph that repeats."""
-    groups = connected_components(paragraph_links(docs, units, threshold))
-    own = units.select("row", "doc_id", "line", "start", "n_words", "para")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "line")
-    counted = own.groupBy("para").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    bitmap[np.asarray(found["word"])] = np.asarray(found["bits"]).astype(np.uint32)
+    passed = texts.select("text").mapInArrow(partial(_passing, texts.sparkSession.sparkContext.broadcast(bitmap)), "para long, text binary")
+    return materialize(passed.join(paras, "para", "left_semi").groupBy("para").agg(F.any_value("text").alias("text")), "paragraph-texts")
+
+
+def _rest_links(pairs: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """The links inside buckets that `links` leave in several components."""
+    groups = connected_components(links)
+    members = pairs.select("bucket", "para").union(pairs.select("bucket", F.col("mate").alias("para"))).distinct()
+    members = members.join(groups, members["para"] == groups["node"], "left").select("bucket", "para", F.coalesce("component", "para").alias("component"))
+    members = materialize(members, "members")
+    sized = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sized = sized.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n")).where("n > core.n")
+    split = materialize(sized.select("bucket", F.col("core.component").alias("core"), F.ceil((F.col("n") - F.col("core.n")) / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "split")
+    if split.isEmpty():
+        return None
+    dealt = members.join(split, "bucket")
+    block, part = F.pmod(F.xxhash64("para"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("para"), F.col("parts")).cast("int")
+    asked = dealt.where("component <> core").select("bucket", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "para", "component")
+    asking = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(True).alias("asks"), "para", "component")
+    rows = asked.union(asking).join(texts, "para").select("bucket", "block", "part", "asks", "para", "component", "text")
+    return rows.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "asks", "para").mapInArrow(partial(_verify_rest, threshold), "a long, b long")
+
+
+def paragraph_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node and component of distinct paragraphs that are linked to others."""
+    pairs = candidate_pairs(texts, threshold)
+    paras = pairs.select("para").union(pairs.select("mate")).distinct()
+    held = candidate_texts(texts, paras)
+    met = pairs.select("para", "mate").distinct().join(held, "para").join(held.select(F.col("para").alias("mate"), F.col("text").alias("other")), "mate")
+    links = materialize(met.select("para", "mate", "text", "other").mapInArrow(partial(_verify, threshold), "a long, b long"), "links")
+    rest = _rest_links(pairs, links, held, threshold)
+    return connected_components(links if rest is None else links.union(rest))
+
+
+def repeated_paragraphs(texts: DataFrame, numbers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """no, start, n_words, class_id and kept of every paragraph that repeats."""
+    groups = paragraph_classes(texts, threshold)
+    found = texts.mapInArrow(_lines, "t long, start int, n_words int, para long").groupBy("t", "start").agg(F.any_value("n_words").alias("n_words"), F.any_value("para").alias("para"))
+    at = F.shiftleft("no", PLACE_BITS) + F.col("start")
+    own = materialize(found.join(numbers.select("t", "no"), "t").select(at.alias("at"), "n_words", "para"), "paragraphs")
+    counted = own.groupBy("para").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     named = counted.join(groups, counted["para"] == groups["node"], "left").where("n > 1 OR component IS NOT NULL")
-    named = named.select("para", "first", F.coalesce("component", "para").alias("class_id"))
+    named = materialize(named.select("para", "first", F.coalesce("component", "para").alias("class_id")), "named")
     first = named.groupBy("class_id").agg(F.min("first").alias("first"))
-    named = materialize(named.drop("first").join(first, "class_id"), "classes")
-    met = own.join(named, "para")
-    kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    return met.select("row", "doc_id", "start", "n_words", "class_id", kept.alias("kept"), F.lit("paragraph").alias("kind"))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (no, words, places of anchors): number and place, and hash, of the windows that hold one of the anchors."""
-    for whole in batches:
-        ends = np.asarray(whole.column(1).offsets)[1:] - whole.column(1).offsets[0].as_py()
-        at = 0
-        while at < whole.num_rows:
-            done = ends[at - 1] if at else 0
-            rows = max(1, int(np.searchsorted(ends, done + SLICE_WORDS)) - at)
-            batch = whole.slice(at, rows)
-            at += rows
-            no, words, places = (batch.column(i) for i in range(3))
-            lengths = np.diff(np.asarray(words.offsets)).astype(np.int64)
-            begins = np.cumsum(lengths) - lengths
-            ids = _mix(np.asarray(words.flatten()).view(np.uint32).astype(np.uint64))
-            n = len(ids) - MIN_RUN + 1
-            if n <= 0:
-                continue
-            text_of = np.repeat(np.arange(len(lengths)), lengths)
-            begin = np.repeat(begins, np.diff(np.asarray(places.offsets)))
-            place = np.asarray(places.flatten()) + begin
-            change = np.zeros(len(ids) + 1, np.int64)
-            np.add.at(change, np.maximum(place - (MIN_RUN - SHINGLE), begin), 1)
-            np.add.at(change, place + 1, -1)
-            near = np.cumsum(change[:n]) > 0
-            start = np.flatnonzero(near & (text_of[:n] == text_of[MIN_RUN - 1 :]))
-            owner = text_of[start]
-            key = (np.asarray(no)[owner] << PLACE_BITS) | (start - begins[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram_hashes(ids, MIN_RUN)[start].view(np.int64))], ["at", "key"])
-
-
-def runs_of(at: np.ndarray, first: np.ndarray) -> list[pa.Array]:
-    """The columns of RUNS for sorted windows `at`, each with its first occurrence: a run's parts, then its links to first occurrences."""
-    low = (1 << PLACE_BITS) - 1
-    step, begins = np.diff(at), np.ones(len(at), bool)
-    begins[1:] = step >= MIN_RUN  # of another row too
-    run_of = np.cumsum(begins) - 1
-    run = at[begins]
-    ends = at[np.append(begins[1:], True)] + MIN_RUN
-    sizes = ends - run
-    base = np.cumsum(sizes) - sizes
-    own = (base[run_of] + at - run[run_of])[at == first]
-    change = np.zeros(sizes.sum() + 1, np.int64)
-    np.add.at(change, own, 1)
-    np.add.at(change, own + MIN_RUN, -1)
-    kept = np.cumsum(change[:-1]) > 0
-    edge = np.append(True, kept[1:] != kept[:-1])
-    edge[base] = True
-    cut = np.flatnonzero(edge)
-    part_of = np.searchsorted(base, cut, "right") - 1
-    chain = begins.copy()
-    chain[1:] |= (step != 1) | (np.diff(first) != 1)
-    chain &= first != at
-    n, m = len(cut), int(chain.sum())
-    start = (run[part_of] & low) + cut - base[part_of]
-    return [
-        pa.array(np.append(run[part_of], run[run_of][chain])), pa.array([*start.tolist(), *[None] * m], pa.int32()), pa.array([*np.diff(np.append(cut, len(kept))).tolist(), *[None] * m], pa.int32()),
-        pa.array([*kept[cut].tolist(), *[None] * m], pa.bool_()), pa.array([*[None] * n, *first[chain].tolist()], pa.int64()),
-    ]
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, first), those of a text one after another in order."""
-    names = [f.split()[0] for f in RUNS.split(", ")]
-    rest = np.empty((2, 0), np.int64)
-    for batch in batches:
-        both = np.concatenate([rest, np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])], axis=1)
-        if not both.shape[1]:
-            continue
-        # the last text may go on in the next batch
-        whole = int(np.searchsorted(-(both[0] >> PLACE_BITS != both[0, -1] >> PLACE_BITS).astype(np.int8), 0))
-        rest = both[:, whole:]
-        if whole:
-            yield pa.RecordBatch.from_arrays(runs_of(both[0, :whole], both[1, :whole]), names)
-    if rest.shape[1]:
-        yield pa.RecordBatch.from_arrays(runs_of(rest[0], rest[1]), names)
-
-
-def _number(place: str) -> Column:
-    return F.shiftright(place, PLACE_BITS)
-
-
-def repeated_runs(units: DataFrame) -> DataFrame:
-    """The same of passages inside and over lines: what windows of MIN_RUN words that stand in several rows cover."""
-    texts = units.where("line IS NULL").select("row", "doc_id", "words", "anchors", "places")
-    numbered = with_positions(texts.select(F.col("doc_id").isNull().alias("null"), "doc_id", "row"), ["null", "doc_id", "row"], "no")
-    numbered = materialize(numbered.select("row", "doc_id", F.col("no").cast("long").alias("no")), "numbers")
-    cut = texts.select("row", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("row", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    several = cut.groupBy("anchor").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("anchor")
-    near = cut.join(several, "anchor").groupBy("row").agg(F.collect_list("place").alias("near")).join(numbered.select("row", "no"), "row")
-    windows = texts.select("row", "words").join(near, "row").select("no", "words", "near").mapInArrow(_windows, "at long, key long")
-    windows = materialize(windows, "windows")
-    firsts = windows.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(_number("first") != _number("last")).select("key", "first")
-    shared = windows.join(firsts, "key").select(_number("at").alias("no"), "at", "first")
-    found = materialize(shared.repartition("no").sortWithinPartitions("at").select("at", "first").mapInArrow(_runs, RUNS), "runs")
-    parts, links = found.where("first IS NULL").drop("first"), found.where("first IS NOT NULL").select("run", "first")
-    whole = parts.groupBy("run").agg(F.max(F.col("start") + F.col("n_words")).alias("end")).select(F.col("run").alias("leader"), "end", _number("run").alias("no"))
-    asked = links.select("first", _number("first").alias("no"), F.col("first").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")).distinct()
-    met = asked.join(whole, "no").where((F.col("first") >= F.col("leader")) & (F.col("place") < F.col("end"))).select("first", "leader")
-    groups = connected_components(links.join(met, "first").select("run", "leader"))
-    named = parts.join(groups, parts["run"] == groups["node"], "left").select("start", "n_words", "kept", F.coalesce("component", "run").alias("class_id"), _number("run").alias("no"))
-    return named.join(numbered, "no").select("row", "doc_id", "start", "n_words", "class_id", "kept", F.lit("run").alias("kind"))
+    classes = materialize(named.drop("first").join(first, "class_id"), "classes")
+    return own.join(classes, "para").select(number_of("at").alias("no"), place_in("at").cast("int").alias("start"), "n_words", "class_id", (F.col("at") == F.col("first")).alias("kept"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Repeated passages: row, doc_id, first word's number, words, class_id, kept (false: to be removed) and kind."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    units = materialize(rows.mapInArrow(partial(_units, bands_for(threshold)), UNITS), "paragraphs")
-    return repeated_paragraphs(rows, units.where("line IS NOT NULL"), threshold).union(repeated_runs(units))
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
+    words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = docs.where(F.octet_length(text_col) > 0).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), words.alias("n_words"))
+    rows = materialize(rows, "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("least")
+    firsts = rows.groupBy("t").agg(least, F.count("*").alias("n")).select("t", "n", "least.*")
+    numbers = materialize(with_positions(firsts, ["null", "doc_id", "row"], "no"), "numbers")
+
+    copied = rows.join(numbers.where("n > 1").select("t", F.col("row").alias("least")), "t").where(F.col("n_words") >= SHINGLE)
+    copies = copied.select("row", "doc_id", F.lit(0).alias("start"), "n_words", F.col("t").alias("class_id"), (F.col("row") == F.col("least")).alias("kept"), F.lit("copy").alias("kind"))
+
+    def placed(found: DataFrame, kind: str) -> DataFrame:
+        return found.join(numbers.select("no", "row", "doc_id"), "no").select("row", "doc_id", "start", "n_words", "class_id", "kept", F.lit(kind).alias("kind"))
+
+    return placed(repeated_paragraphs(texts, numbers, threshold), "paragraph").union(placed(repeated_runs(texts, numbers), "run")).union(copies)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
