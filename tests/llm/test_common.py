@@ -1,6 +1,7 @@
 import pyarrow as pa
 
-from vexel.llm.common import SLICE_ROWS, fresh, materialize, scratch_dir, text_slices
+from vexel.llm import common
+from vexel.llm.common import SLICE_ROWS, fresh, hub_join, materialize, salted_join, scratch_dir, text_slices
 
 
 def test_slices_are_bounded_and_whole():
@@ -20,3 +21,14 @@ def test_materialize_keeps_schema_and_place(spark):
 
 def test_fresh_names(spark):
     assert fresh(spark.range(1), "row") == "row" and fresh(spark.range(1).selectExpr("id AS ROW", "id AS row_"), "row") == "row__"
+
+
+def test_hub_joins(spark, monkeypatch):
+    """Keys with most of the rows, met by broadcast or in cuts, give what a plain join gives."""
+    monkeypatch.setattr(common, "HUB_ROWS", 10)
+    rows = spark.range(300).selectExpr("IF(id % 3 = 0, 7, id % 40) AS k", "id AS x")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    keyed = counts.selectExpr("k", "n", "k * 2 AS m").where("k <> 5")
+    plain = sorted(map(tuple, rows.join(keyed.drop("n"), "k").collect()))
+    assert sorted(map(tuple, hub_join(rows, keyed, "k", 300).select("k", "x", "m").collect())) == plain
+    assert sorted(map(tuple, salted_join(rows, keyed.drop("n"), "k", "x", 300).select("k", "x", "m").collect())) == plain

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vexel.scratch import materialize, scratch_dir
 
-__all__ = ["fresh", "hub_join", "materialize", "scratch_dir", "ship", "table", "text_blocks", "text_slices"]
+__all__ = ["fresh", "hub_join", "materialize", "salted_join", "scratch_dir", "ship", "table", "text_blocks", "text_slices"]
 
 #: Rows of an Arrow batch that Python code holds as objects at once, and the bytes of text after which a slice ends.
 SLICE_ROWS = 512
@@ -36,23 +36,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hub_join(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with keyed, which has one row for each key and in n the rows of that key; total: rows, or more.
+def _heavy(total: int) -> int:
+    """The rows of a key beyond which it is a hub: there can't be more than HUB_ROWS such keys."""
+    return max(HUB_ROWS, total // HUB_ROWS)
+
+
+def hub_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """rows joined with keyed, which has one row of numbers for each key and in n the rows of that key; total: rows, or more.
 
     Keys of more rows than HUB_ROWS, and than total / HUB_ROWS, meet their rows by
     broadcast; there can't be more than HUB_ROWS such keys. The others are shuffled.
     """
-    limit = max(HUB_ROWS, total // HUB_ROWS)
-    named = [c for c in keyed.columns if c not in (key, "n")]
+    keys, limit = [key] if isinstance(key, str) else key, _heavy(total)
+    named = [c for c in keyed.columns if c not in (*keys, "n")]
     if total <= limit:
-        return rows.join(keyed.drop("n"), key)
-    heavy = keyed.where(F.col("n") > limit).select(key, *[F.col(c).alias(f"__{c}") for c in named], F.lit(True).alias("__heavy"))
-    met = rows.join(F.broadcast(heavy), key, "left")
+        return rows.join(keyed.drop("n"), keys)
+    heavy = keyed.where(F.col("n") > limit).select(*keys, *[F.col(c).alias(f"__{c}") for c in named], F.lit(True).alias("__heavy"))
+    met = rows.join(F.broadcast(heavy), keys, "left")
     ours = met.where("__heavy").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in named])
-    rest = met.where("__heavy IS NULL").select(*rows.columns).join(keyed.where(F.col("n") <= limit).drop("n"), key)
+    rest = met.where("__heavy IS NULL").select(*rows.columns).join(keyed.where(F.col("n") <= limit).drop("n"), keys)
     return ours.union(rest.select(*rows.columns, *named))
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, salt_by: str, total: int) -> DataFrame:
+    """The same where keyed holds texts: hubs are cut by the hash of the column salt_by, and keyed's rows of hubs repeated for each cut; only hubs' keys are broadcast."""
+    limit = _heavy(total)
+    if total <= limit:
+        return rows.join(keyed, key)
+    hubs = F.broadcast(materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__cuts")), "hubs"))
+    cuts = F.coalesce("__cuts", F.lit(1))
+    cut = rows.join(hubs, key, "left").withColumn("__salt", F.pmod(F.xxhash64(salt_by), cuts).cast("int")).drop("__cuts")
+    repeated = keyed.join(hubs, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("__cuts")
+    return cut.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -274,11 +274,13 @@ def shared_chains(texts: DataFrame, numbers: DataFrame) -> DataFrame:
 
     own, first, n = F.col("own"), F.col("first"), F.col("n_words")
     asked = chains.select("own", "n_words", "first", F.explode(F.array(edge(own, True, 0), edge(first, True, 1), edge(own + n, False, 2), edge(first + n, False, 3))).alias("e")).select("own", "n_words", "first", "e.*")
-    wanted = asked.select("at", "back").distinct().withColumn("no", number_of("at")).join(numbers.select("no", "t"), "no")
+    asked = materialize(asked, "ends")
+    counts = asked.groupBy("at", "back").agg(F.count("*").alias("n"))
+    wanted = counts.withColumn("no", number_of("at")).join(numbers.select("no", "t"), "no")
     wanted = wanted.groupBy("t").agg(F.collect_list(F.when(F.col("back"), F.col("at"))).alias("before"), F.collect_list(F.when(~F.col("back"), F.col("at"))).alias("after"))
     said = texts.mapInArrow(_once, "t long, text string").join(wanted, "t").select("text", "before", "after").mapInArrow(_contexts, "at long, back boolean, near array<string>")
-    said = said.groupBy("at", "back").agg(F.any_value("near").alias("near"))
-    sides = asked.join(said, ["at", "back"]).groupBy("own", "n_words", "first").agg(*[F.max(F.when(F.col("role") == k, F.col("near"))).alias(f"near{k}") for k in range(4)])
+    said = materialize(said.groupBy("at", "back").agg(F.any_value("near").alias("near")).join(counts, ["at", "back"]), "contexts")
+    sides = hub_join(asked, said, ["at", "back"], asked.count()).groupBy("own", "n_words", "first").agg(*[F.max(F.when(F.col("role") == k, F.col("near"))).alias(f"near{k}") for k in range(4)])
     grown = sides.select("own", "n_words", "first", _common("near0", "near1").alias("back"), _common("near2", "near3").alias("fore"))
     grown = grown.where(F.col("n_words") + F.col("back") + F.col("fore") >= MIN_RUN)
     ends = F.col("n_words") + F.col("fore")
@@ -297,7 +299,9 @@ def repeated_runs(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     found = materialize(spans.repartition(number_of("at")).sortWithinPartitions("at", "end").mapInArrow(_runs, "run long, start int, n_words int, kept boolean, at long, end long"), "runs")
     of = found.where("at IS NOT NULL").select("run", "at", "end").distinct()
     links = passages.join(of.select(F.col("run").alias("a"), F.col("at").alias("own"), "end"), ["own", "end"])
-    links = links.join(of.select(F.col("run").alias("b"), F.col("at").alias("first"), F.col("end").alias("first_end")), ["first", "first_end"]).select("a", "b")
+    uses = passages.groupBy("first", "first_end").agg(F.count("*").alias("n"))
+    there = of.select(F.col("run").alias("b"), F.col("at").alias("first"), F.col("end").alias("first_end")).join(uses, ["first", "first_end"])
+    links = hub_join(links, there, ["first", "first_end"], passages.count()).select("a", "b")
     groups = connected_components(links)
     parts = found.where("at IS NULL").select("run", "start", "n_words", "kept")
     return parts.join(groups, parts["run"] == groups["node"], "left").select(number_of("run").alias("no"), "start", "n_words", F.coalesce("component", "run").alias("class_id"), "kept")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import materialize, table, text_blocks, text_slices
+from vexel.llm.common import hub_join, materialize, salted_join, table, text_blocks, text_slices
 from vexel.llm.components import connected_components
 from vexel.llm.passages import BLOCK_BYTES, PLACE_BITS, SHINGLE, gram_hashes, mix, number_of, place_in, repeated_runs, word_hashes
 from vexel.llm.simhash import Forest
@@ -246,9 +246,8 @@ def candidate_texts(texts: DataFrame, paras: DataFrame) -> DataFrame:
     return materialize(passed.join(paras, "para", "left_semi").groupBy("para").agg(F.any_value("text").alias("text")), "paragraph-texts")
 
 
-def _rest_links(pairs: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """The links inside buckets that `links` leave in several components."""
-    groups = connected_components(links)
+def _rest_links(pairs: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """The links inside buckets that the components leave in several."""
     members = pairs.select("bucket", "para").union(pairs.select("bucket", F.col("mate").alias("para"))).distinct()
     members = members.join(groups, members["para"] == groups["node"], "left").select("bucket", "para", F.coalesce("component", "para").alias("component"))
     members = materialize(members, "members")
@@ -270,43 +269,52 @@ def paragraph_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFra
     pairs = candidate_pairs(texts, threshold)
     paras = pairs.select("para").union(pairs.select("mate")).distinct()
     held = candidate_texts(texts, paras)
-    met = pairs.select("para", "mate").distinct().join(held, "para").join(held.select(F.col("para").alias("mate"), F.col("text").alias("other")), "mate")
+    near = materialize(pairs.select("para", "mate").distinct(), "pairs")
+    met = salted_join(near.join(held, "para"), held.select(F.col("para").alias("mate"), F.col("text").alias("other")), "mate", "para", near.count())
     links = materialize(met.select("para", "mate", "text", "other").mapInArrow(partial(_verify, threshold), "a long, b long"), "links")
-    rest = _rest_links(pairs, links, held, threshold)
-    return connected_components(links if rest is None else links.union(rest))
+    groups = connected_components(links)
+    rest = _rest_links(pairs, groups, held, threshold)
+    return groups if rest is None else connected_components(groups.toDF("a", "b").union(rest))
 
 
-def repeated_paragraphs(texts: DataFrame, numbers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """no, start, n_words, class_id and kept of every paragraph that repeats."""
-    groups = paragraph_classes(texts, threshold)
+def paragraphs_of(texts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """at, n_words and para of every paragraph; texts: t, text."""
     found = texts.mapInArrow(_lines, "t long, start int, n_words int, para long").groupBy("t", "start").agg(F.any_value("n_words").alias("n_words"), F.any_value("para").alias("para"))
     at = F.shiftleft("no", PLACE_BITS) + F.col("start")
-    own = materialize(found.join(numbers.select("t", "no"), "t").select(at.alias("at"), "n_words", "para"), "paragraphs")
+    return materialize(found.join(numbers.select("t", "no"), "t").select(at.alias("at"), "n_words", "para"), "paragraphs")
+
+
+def repeated_paragraphs(texts: DataFrame, own: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """no, start, n_words, class_id and kept of every paragraph of own that repeats."""
+    groups = paragraph_classes(texts, threshold)
     counted = own.groupBy("para").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     named = counted.join(groups, counted["para"] == groups["node"], "left").where("n > 1 OR component IS NOT NULL")
-    named = materialize(named.select("para", "first", F.coalesce("component", "para").alias("class_id")), "named")
-    first = named.groupBy("class_id").agg(F.min("first").alias("first"))
-    classes = materialize(named.drop("first").join(first, "class_id"), "classes")
-    return own.join(classes, "para").select(number_of("at").alias("no"), place_in("at").cast("int").alias("start"), "n_words", "class_id", (F.col("at") == F.col("first")).alias("kept"))
+    named = materialize(named.select("para", "n", "first", F.coalesce("component", "para").alias("class_id")), "named")
+    first = named.groupBy("class_id").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    classes = materialize(hub_join(named.select("para", F.col("n").alias("uses"), "class_id"), first, "class_id", named.count()).withColumnRenamed("uses", "n"), "classes")
+    met = hub_join(own, classes, "para", own.count())
+    return met.select(number_of("at").alias("no"), place_in("at").cast("int").alias("start"), "n_words", "class_id", (F.col("at") == F.col("first")).alias("kept"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Repeated passages: row, doc_id, first word's number, words, class_id, kept (false: to be removed) and kind."""
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
-    words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.where(F.octet_length(text_col) > 0).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), words.alias("n_words"))
+    rows = docs.where(F.octet_length(text_col) > 0).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"))
     rows = materialize(rows, "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("least")
     firsts = rows.groupBy("t").agg(least, F.count("*").alias("n")).select("t", "n", "least.*")
     numbers = materialize(with_positions(firsts, ["null", "doc_id", "row"], "no"), "numbers")
+    own = paragraphs_of(texts, numbers)
 
-    copied = rows.join(numbers.where("n > 1").select("t", F.col("row").alias("least")), "t").where(F.col("n_words") >= SHINGLE)
+    words = own.groupBy(number_of("at").alias("no")).agg(F.sum("n_words").cast("int").alias("n_words"))  # paragraphs hold all words
+    several = numbers.where("n > 1").join(words, "no").select("t", "n", F.col("row").alias("least"), "n_words")
+    copied = hub_join(rows, several, "t", rows.count())
     copies = copied.select("row", "doc_id", F.lit(0).alias("start"), "n_words", F.col("t").alias("class_id"), (F.col("row") == F.col("least")).alias("kept"), F.lit("copy").alias("kind"))
 
     def placed(found: DataFrame, kind: str) -> DataFrame:
         return found.join(numbers.select("no", "row", "doc_id"), "no").select("row", "doc_id", "start", "n_words", "class_id", "kept", F.lit(kind).alias("kind"))
 
-    return placed(repeated_paragraphs(texts, numbers, threshold), "paragraph").union(placed(repeated_runs(texts, numbers), "run")).union(copies)
+    return placed(repeated_paragraphs(texts, own, threshold), "paragraph").union(placed(repeated_runs(texts, numbers), "run")).union(copies)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
