@@ -5,13 +5,12 @@ that are the least of a window of MIN_RUN words. Two texts that share a passage
 have the same anchors in it, but for its first and last REACH words, and so the
 same pieces between neighbouring anchors; a passage of MIN_RUN + REACH + 1 = 26
 words or more holds a piece wherever it stands. A piece is shared if two
-different texts have it. Of every shared piece the first occurrence is known;
-neighbouring pieces whose first occurrences are neighbours too form a chain, and
-both ends of a chain are compared word by word with the text of the first
-occurrence, REACH words at most, since any longer common end would hold a piece.
-So spans are exact to the word against the first occurrence; up to REACH words at
-an end that only later texts share are left out. Equal texts and pieces are told
-by 64-bit hashes.
+different texts have it. Of every shared piece the first occurrence is known.
+Neighbouring shared pieces of a text are a run; at both ends of a run the text is
+compared word by word with that of the end piece's first occurrence, REACH words
+at most, since any longer common end would hold a piece. So runs are exact to the
+word against first occurrences; up to REACH words at an end that only later texts
+share are left out. Equal texts and pieces are told by 64-bit hashes.
 
 Scale: a task meets the pieces of its own block of texts first, so that of a
 piece that stands everywhere one row for each block is shuffled; what follows
@@ -39,6 +38,7 @@ PLACE_BITS = 31
 BLOCK_BYTES = 8 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,21 +62,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def _sliding(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of every REACH + 1 neighbours."""
+    size = 1
+    while 2 * size <= REACH + 1:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    rest = REACH + 1 - size
+    return pick(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def anchors_of(hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """Places of the shingles that are the least of a window of MIN_RUN words within one text; of a shingle repeated place by place every REACH + 1st and the last."""
     n = len(hashes) - MIN_RUN + 1
     if n <= 0:
         return np.empty(0, np.int64)
     grams = gram_hashes(hashes, SHINGLE)
-    least, at = grams[:n].copy(), np.zeros(n, np.int64)
-    for d in range(1, REACH + 1):
-        less = grams[d : d + n] < least
-        least[less] = grams[d : d + n][less]
-        at[less] = d
-    inside = np.flatnonzero(text_of[:n] == text_of[MIN_RUN - 1 :])
-    chosen = np.zeros(len(grams), bool)
-    chosen[inside + at[inside]] = True
-    place = np.flatnonzero(chosen)
+    least = _sliding(grams, np.minimum)
+    least[text_of[:n] != text_of[MIN_RUN - 1 :]] = 0
+    pad = np.zeros(REACH, np.uint64)
+    greatest = _sliding(np.concatenate([pad, least, pad]), np.maximum)  # of the windows that hold a shingle
+    place = np.flatnonzero((greatest == grams) & (greatest > 0))
     if len(place) < 3:
         return place
     same = (np.diff(place) == 1) & (grams[place[1:]] == grams[place[:-1]])
@@ -91,11 +96,12 @@ def pieces_of(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.n
     follows = text_of[place[1:]] == text_of[place[:-1]]
     begin = place[:-1][follows]
     length = place[1:][follows] + SHINGLE - begin
-    key = np.zeros(len(begin), np.uint64)
-    for d in range(REACH + 1 + SHINGLE):
-        own = d < length
-        key[own] = mix(key[own] + hashes[begin[own] + d])
-    return begin, length, key
+    # differences of one polynomial's running sums, moved to power 0
+    powers, back = np.full(len(hashes), _ODD), np.full(len(hashes), _INVERSE)
+    powers[:1] = back[:1] = 1
+    sums = np.append(np.uint64(0), np.cumsum(hashes * np.cumprod(powers)))
+    key = (sums[begin + length] - sums[begin]) * np.cumprod(back)[begin]
+    return begin, length, mix(key + length.astype(np.uint64))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,19 +161,66 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[hit]), pa.array(code[hit] >> 2), pa.array(key[hit])], ["t", "code", "key"])
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, length, first) in order: chains (own, n_words, first) of neighbouring pieces whose first occurrences are neighbours, but for first occurrences."""
+def regions_of(at: np.ndarray, length: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Of the pieces of whole texts, in order: the columns of REGIONS: regions (run and end), their parts that stand earlier too (at is set), links (first is set)."""
+    end = at + length
+    begins = np.append(True, at[1:] != end[:-1] - SHINGLE)
+    heads, tails = np.flatnonzero(begins), np.flatnonzero(np.append(begins[1:], True))
+    region = np.cumsum(begins) - 1
+    run = at[heads]
+    own = np.flatnonzero(at != first)
+    opens = np.append(True, at[own][1:] > end[own][:-1])[: len(own)]
+    part_heads, part_tails = own[opens], own[np.append(opens[1:], True)[: len(own)]]
+    # of every region and text of first occurrences one piece
+    _, once = np.unique(np.stack([region[own], first[own] >> PLACE_BITS]), axis=1, return_index=True)
+    once = own[once]
+    sizes = (len(run), len(part_heads), len(once))
+
+    def column(*parts: np.ndarray | None) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(n, pa.int64()) if part is None else pa.array(part) for n, part in zip(sizes, parts, strict=True)])
+
+    return [
+        column(run, run[region[part_heads]], run[region[once]]), column(None, at[part_heads], None), column(end[tails], end[part_tails], None),
+        column(None, first[part_heads], None), column(None, (first + length)[part_tails], None), column(None, None, first[once]),
+    ]
+
+
+REGIONS = "run long, at long, end long, left long, right long, first long"
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, length, first), those of a text one after another in order: its regions, their parts and their links."""
+    names = [f.split()[0] for f in REGIONS.split(", ")]
+    rest = np.empty((3, 0), np.int64)
+
+    def made(rows: np.ndarray) -> pa.RecordBatch:
+        at, length, first = rows[:, np.append(True, rows[0, 1:] != rows[0, :-1])]  # a copy of the text in another task may repeat a piece
+        return pa.RecordBatch.from_arrays(regions_of(at, length, first), names)
+
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])], axis=1)
+        if not rows.shape[1]:
+            continue
+        whole = int(np.searchsorted(rows[0] >> PLACE_BITS, rows[0, -1] >> PLACE_BITS))  # the last text may go on
+        rest = rows[:, whole:]
+        if whole:
+            yield made(rows[:, :whole])
+    if rest.shape[1]:
+        yield made(rest)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, asker) in order, asker -1: a run begins there: (asker, the run that holds its place)."""
+    last = -1
     for batch in batches:
-        at, length, first = (np.asarray(batch.column(i)).astype(np.int64) for i in range(3))
-        once = np.append(True, at[1:] != at[:-1])[: len(at)]
-        other = once & (at != first)
-        at, length, first = at[other], length[other], first[other]
+        at, asker = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         if not len(at):
             continue
-        step = length[:-1] - SHINGLE
-        begins = np.append(True, (at[1:] != at[:-1] + step) | (first[1:] != first[:-1] + step))
-        ends = np.append(begins[1:], True)
-        yield pa.RecordBatch.from_arrays([pa.array(at[begins]), pa.array(at[ends] + length[ends] - at[begins]), pa.array(first[begins])], ["own", "n_words", "first"])
+        run = np.maximum.accumulate(np.where(asker < 0, at, -1))
+        run = np.where(run < 0, last, run)
+        last = run[-1]
+        asks = asker >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(asker[asks]), pa.array(run[asks])], ["a", "b"])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,52 +251,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(back, pa.bool_()), pa.array(near, pa.list_(pa.string()))], ["at", "back", "near"])
 
 
-def runs_of(at: np.ndarray, end: np.ndarray, own: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
-    """Of sorted spans of texts: the columns of the runs that they cover, cut where own spans begin or end, and the run of every span."""
-    reach = np.maximum.accumulate(end)
-    begins = np.append(True, at[1:] >= reach[:-1])
-    run_of = np.cumsum(begins) - 1
-    run = at[begins]
-    sizes = reach[np.append(begins[1:], True)] - run
-    base = np.cumsum(sizes) - sizes
-    change = np.zeros(sizes.sum() + 1, np.int64)
-    shift = base[run_of] - run[run_of]
-    np.add.at(change, (at + shift)[own], 1)
-    np.add.at(change, (end + shift)[own], -1)
-    kept = np.cumsum(change[:-1]) == 0
-    edge = np.append(True, kept[1:] != kept[:-1])
-    edge[base] = True
-    cut = np.flatnonzero(edge)
-    part_of = np.searchsorted(base, cut, "right") - 1
-    start = (run[part_of] & ((1 << PLACE_BITS) - 1)) + cut - base[part_of]
-    columns = [pa.array(run[part_of]), pa.array(start.astype(np.int32)), pa.array(np.diff(np.append(cut, len(kept))).astype(np.int32)), pa.array(kept[cut])]
-    return columns, run[run_of]
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, end, own), those of a text one after another in order: parts of runs, and every span's run."""
-    rest = np.empty((3, 0), np.int64)
-
-    def made(spans: np.ndarray) -> pa.RecordBatch:
-        columns, run = runs_of(spans[0], spans[1], spans[2] > 0)
-        n, m = len(columns[0]), len(run)
-        long, none = pa.int64(), pa.nulls
-        parts = [pa.concat_arrays([c, none(m, c.type)]) for c in columns[1:]]
-        spanned = [pa.concat_arrays([none(n, long), pa.array(spans[i])]) for i in range(2)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([columns[0], pa.array(run)]), *parts, *spanned], ["run", "start", "n_words", "kept", "at", "end"])
-
-    for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(batch.column(i).cast(pa.int64())) for i in range(3)])], axis=1)
-        if not rows.shape[1]:
-            continue
-        whole = int(np.searchsorted(rows[0] >> PLACE_BITS, rows[0, -1] >> PLACE_BITS))  # the last text may go on
-        rest = rows[:, whole:]
-        if whole:
-            yield made(rows[:, :whole])
-    if rest.shape[1]:
-        yield made(rest)
-
-
 def number_of(place: str) -> Column:
     return F.shiftright(place, PLACE_BITS)
 
@@ -257,8 +264,8 @@ def _common(one: str, two: str) -> Column:
     return F.coalesce(F.expr(f"array_max(filter(sequence(0, least(size({one}), size({two}))), i -> slice({one}, 1, i) = slice({two}, 1, i)))"), F.lit(0))
 
 
-def shared_chains(texts: DataFrame, numbers: DataFrame) -> DataFrame:
-    """own, end, first and first_end of passages and of their first occurrences elsewhere. texts: t, text; numbers: t and no, one row for each text."""
+def shared_pieces(texts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """at, length and first (the first occurrence) of every piece that several texts have. texts: t, text; numbers: t and no, one row for each text."""
     cut = texts.mapInArrow(_pieces, "key long, t long, code long")
     route = F.when(F.col("code").bitwiseAND(F.lit(3)) == 2, F.xxhash64("t", "code")).otherwise(F.col("key"))
     hits = cut.repartition(route).sortWithinPartitions("key", "t").mapInArrow(_shared, "t long, code long, key long")
@@ -266,42 +273,102 @@ def shared_chains(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     found = hits.join(numbers.select("t", "no"), "t").select(at.alias("at"), F.col("code").bitwiseAND(F.lit(63)).cast("int").alias("length"), "key")
     found = materialize(found, "pieces")
     firsts = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    met = hub_join(found, firsts, "key", found.count()).select("at", "length", "first")
-    chains = materialize(met.repartition(number_of("at")).sortWithinPartitions("at").mapInArrow(_chains, "own long, n_words long, first long"), "chains")
+    return hub_join(found, firsts, "key", found.count()).select("at", "length", "first")
+
+
+def grown_parts(parts: DataFrame, texts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """at, back, other and grown: by how many words the parts (at, end, left, right) agree with their partners beyond their begin (back) and end."""
 
-    def edge(at: Column, back: bool, role: int) -> Column:
-        return F.struct(at.alias("at"), F.lit(back).alias("back"), F.lit(role).alias("role"))
+    def edge(own: str, other: str, back: bool) -> Column:
+        return F.struct(F.col(own).alias("own"), F.col(other).alias("other"), F.lit(back).alias("back"))
 
-    own, first, n = F.col("own"), F.col("first"), F.col("n_words")
-    asked = chains.select("own", "n_words", "first", F.explode(F.array(edge(own, True, 0), edge(first, True, 1), edge(own + n, False, 2), edge(first + n, False, 3))).alias("e")).select("own", "n_words", "first", "e.*")
-    asked = materialize(asked, "ends")
+    ends = parts.select(F.col("at").alias("part"), F.explode(F.array(edge("at", "left", True), edge("end", "right", False))).alias("e")).select("part", "e.*")
+    sides = ends.select("part", "back", "other", F.explode(F.array(F.struct(F.col("own").alias("at"), F.lit(True).alias("mine")), F.struct(F.col("other").alias("at"), F.lit(False).alias("mine")))).alias("e"))
+    asked = materialize(sides.select("part", "back", "other", "e.*"), "ends")
     counts = asked.groupBy("at", "back").agg(F.count("*").alias("n"))
     wanted = counts.withColumn("no", number_of("at")).join(numbers.select("no", "t"), "no")
     wanted = wanted.groupBy("t").agg(F.collect_list(F.when(F.col("back"), F.col("at"))).alias("before"), F.collect_list(F.when(~F.col("back"), F.col("at"))).alias("after"))
     said = texts.mapInArrow(_once, "t long, text string").join(wanted, "t").select("text", "before", "after").mapInArrow(_contexts, "at long, back boolean, near array<string>")
     said = materialize(said.groupBy("at", "back").agg(F.any_value("near").alias("near")).join(counts, ["at", "back"]), "contexts")
-    sides = hub_join(asked, said, ["at", "back"], asked.count()).groupBy("own", "n_words", "first").agg(*[F.max(F.when(F.col("role") == k, F.col("near"))).alias(f"near{k}") for k in range(4)])
-    grown = sides.select("own", "n_words", "first", _common("near0", "near1").alias("back"), _common("near2", "near3").alias("fore"))
-    grown = grown.where(F.col("n_words") + F.col("back") + F.col("fore") >= MIN_RUN)
-    ends = F.col("n_words") + F.col("fore")
-    return materialize(grown.select((own - F.col("back")).alias("own"), (own + ends).alias("end"), (first - F.col("back")).alias("first"), (first + ends).alias("first_end")), "passages")
+    met = hub_join(asked, said, ["at", "back"], asked.count()).groupBy("part", "back", "other")
+    met = met.agg(F.max(F.when(F.col("mine"), F.col("near"))).alias("one"), F.max(F.when(~F.col("mine"), F.col("near"))).alias("two"))
+    return materialize(met.select("part", "back", "other", _common("one", "two").alias("grown")), "grown")
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, part, begin, end), those of a text one after another, regions (part null) before their parts: runs, cut where kept changes, without overlap."""
+    text, region, parts, done, out = None, None, [], 0, []
+
+    def close() -> None:
+        nonlocal done
+        if region is None:
+            return
+        run, begin, end = region
+        begin, end = max(done, min([begin, *(b for b, _ in parts)])), max([end, *(e for _, e in parts)])
+        if end - begin < MIN_RUN:
+            return
+        at = begin
+        for low, high in sorted(parts):
+            low, high = max(low, at), min(high, end)
+            if low < high:
+                if at < low:
+                    out.append((run, at, low, True))
+                if out and out[-1][0] == run and not out[-1][3] and out[-1][2] == low:
+                    low = out.pop()[1]
+                out.append((run, low, high, False))
+                at = high
+        if at < end:
+            out.append((run, at, end, True))
+        done = end
+
+    def batch_of() -> pa.RecordBatch:
+        run, begin, end, kept = zip(*out, strict=True)
+        out.clear()
+        low = (1 << PLACE_BITS) - 1
+        return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array([b & low for b in begin], pa.int32()), pa.array([e - b for b, e in zip(begin, end, strict=True)], pa.int32()), pa.array(kept)], ["run", "start", "n_words", "kept"])
+
+    for batch in batches:
+        for run, part, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if part is None:
+                close()
+                if run >> PLACE_BITS != text:
+                    text, done = run >> PLACE_BITS, 0
+                region, parts = (run, begin, end), []
+            else:
+                parts.append((begin, end))
+        if len(out) > 1:
+            last = out.pop()  # a part that follows may join it
+            yield batch_of()
+            out.append(last)
+    close()
+    if out:
+        yield batch_of()
 
 
 def repeated_runs(texts: DataFrame, numbers: DataFrame) -> DataFrame:
-    """no, start, n_words, class_id and kept of the runs of words that passages cover.
+    """no, start, n_words, class_id and kept of the runs of words that several texts share, cut where kept changes.
 
     A word is kept where no earlier occurrence is known, and else has an equal word
     at an earlier place, which is kept or has one itself; so of every passage one
-    copy stays. Runs that share a passage are one class, closed to components.
+    copy stays. A run and the runs of its pieces' first occurrences are one class,
+    closed to components. Runs of fewer than MIN_RUN words are left out.
     """
-    passages = shared_chains(texts, numbers)
-    spans = passages.select(F.col("own").alias("at"), "end", F.lit(1).alias("own")).union(passages.select(F.col("first").alias("at"), F.col("first_end").alias("end"), F.lit(0).alias("own"))).distinct()
-    found = materialize(spans.repartition(number_of("at")).sortWithinPartitions("at", "end").mapInArrow(_runs, "run long, start int, n_words int, kept boolean, at long, end long"), "runs")
-    of = found.where("at IS NOT NULL").select("run", "at", "end").distinct()
-    links = passages.join(of.select(F.col("run").alias("a"), F.col("at").alias("own"), "end"), ["own", "end"])
-    uses = passages.groupBy("first", "first_end").agg(F.count("*").alias("n"))
-    there = of.select(F.col("run").alias("b"), F.col("at").alias("first"), F.col("end").alias("first_end")).join(uses, ["first", "first_end"])
-    links = hub_join(links, there, ["first", "first_end"], passages.count()).select("a", "b")
-    groups = connected_components(links)
-    parts = found.where("at IS NULL").select("run", "start", "n_words", "kept")
-    return parts.join(groups, parts["run"] == groups["node"], "left").select(number_of("run").alias("no"), "start", "n_words", F.coalesce("component", "run").alias("class_id"), "kept")
+    met = shared_pieces(texts, numbers)
+    found = materialize(met.repartition(number_of("at")).sortWithinPartitions("at").mapInArrow(_regions, REGIONS), "regions")
+    regions, parts = found.where("at IS NULL AND end IS NOT NULL").select("run", "end"), found.where("at IS NOT NULL").select("run", "at", "end", "left", "right")
+    asking = found.where("first IS NOT NULL").select(F.col("first").alias("at"), F.col("run").alias("asker"))
+    rows = asking.union(regions.select(F.col("run").alias("at"), F.lit(-1).cast("long").alias("asker")))
+    groups = connected_components(rows.repartition(number_of("at")).sortWithinPartitions("at", "asker").mapInArrow(_linked, "a long, b long"))
+
+    grown = grown_parts(parts, texts, numbers)
+    sides = grown.groupBy("part").agg(F.max(F.when(F.col("back"), F.col("grown"))).alias("fore"), F.max(F.when(~F.col("back"), F.col("grown"))).alias("aft"))
+    removed = parts.join(sides, parts["at"] == sides["part"]).select("run", "part", (F.col("at") - F.col("fore")).alias("begin"), (F.col("end") + F.col("aft")).alias("end"))
+    # a first occurrence at a region's edge grows as far as the copy that grows furthest
+    there = grown.groupBy("other", "back").agg(F.max("grown").alias("grown"))
+    fore, aft = there.where("back").select(F.col("other").alias("run"), F.col("grown").alias("fore")), there.where("NOT back").select(F.col("other").alias("end"), F.col("grown").alias("aft"))
+    whole = regions.join(fore, "run", "left").join(aft, "end", "left")
+    whole = whole.select("run", F.lit(None).cast("long").alias("part"), (F.col("run") - F.coalesce("fore", F.lit(0))).alias("begin"), (F.col("end") + F.coalesce("aft", F.lit(0))).alias("end"))
+    dealt = whole.union(removed).repartition(number_of("run")).sortWithinPartitions("run", "part")
+    placed = dealt.mapInArrow(_assembled, "run long, start int, n_words int, kept boolean")
+    named = placed.join(groups, placed["run"] == groups["node"], "left")
+    return named.select(number_of("run").alias("no"), "start", "n_words", F.coalesce("component", "run").alias("class_id"), "kept")

@@ -98,7 +98,7 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = B
         key = np.full(len(starts), band + 1, np.uint64)
         for _ in range(rows):
             a, b = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
-            key = mix(key + np.minimum.reduceat(mix(shingle * (a | np.uint64(1)) + b), first))
+            key = mix(key + np.minimum.reduceat(shingle * (a | np.uint64(1)) + b, first))
         out[:, band] = key
     return out
 
@@ -177,9 +177,9 @@ def _passing(bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.values(), pa.binary())], ["para", "text"])
 
 
-def shingles(text: bytes) -> frozenset[bytes]:
+def shingles(text: bytes) -> frozenset[tuple[bytes, ...]]:
     words = text.split(b" ")
-    return frozenset(b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+    return frozenset(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else frozenset([tuple(words)])
 
 
 def similar(a: frozenset, b: frozenset, threshold: float = THRESHOLD) -> bool:
