@@ -2,6 +2,7 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from vexel.llm import crf
@@ -98,3 +99,14 @@ def test_long_texts_decode_like_whole_ones(model):
     places = [m.span() for m in crf.TOKEN.finditer(text)]
     starts = [places[k][0] for k, label in enumerate(whole) if label == 1]
     assert len(words) > 1500 and [s for s, _ in secret_spans([text], model)[0]] == starts
+
+
+def test_lexicon_scores_like_features(model):
+    """Patterns of like characters give what the features of every single token give."""
+    rng = random.Random(5)
+    made = ["".join(rng.choice("abgzAZ09éÉßǅ中٣½²_-") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [crf.TOKEN.findall(" ".join([*made[k : k + 40], rng.choice(("password", "Token", "x")), "=", *made[k + 40 : k + 45]])) for k in range(0, 3000, 45)]
+    found = crf.Lexicon(model).scores([w for words in texts for w in words], [len(words) for words in texts])
+    x, lengths = model.pad([crf.features(words) for words in texts])
+    whole = model.emit[x].sum(axis=2)
+    assert np.allclose(found, np.concatenate([row[:n] for row, n in zip(whole, lengths, strict=True)]))

@@ -14,6 +14,7 @@ import numpy as np
 
 LABELS = ("O", "B", "I")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+")
 #: Words that announce a credential (fixed values).
 CUES = frozenset(("password", "passwd", "pwd", "token", "secret", "key", "apikey", "auth", "credential"))
 
@@ -35,7 +36,7 @@ def features(words: list[str]) -> list[list[str]]:
     shapes = [shape(w) for w in words]
     out = []
     for i, word in enumerate(words):
-        mixed = len(set(re.findall(r"[A-Z]+|[a-z]+|[0-9]+", word))) > 3
+        mixed = len(set(RUNS.findall(word))) > 3
         cue = any(w.lower() in CUES for w in words[max(0, i - 3) : i])
         size = min(len(word) // 4, 6)
         out.append([
@@ -89,53 +90,106 @@ class ChainModel:
         return out
 
 
+class _Alike(dict):
+    """Characters that no feature tells apart, by one of them."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if "a" <= c <= "z":
+            like = "a" if c <= "f" else "g"
+        elif "A" <= c <= "Z":
+            like = "A"
+        elif "0" <= c <= "9":
+            like = "0"
+        elif not c.isalnum() or c.istitle() and not c.isupper():
+            like = c
+        else:
+            like = "\u0663" if c.isdigit() else "\u00c9" if c.isupper() else "\u00e9" if c.islower() else "\u4e2d"
+        self[code] = like
+        return like
+
+
+class _Numbers(dict):
+    """The number of every word's pattern; a new word is handed to `read`."""
+
+    def __init__(self, read) -> None:
+        super().__init__()
+        self.read = read
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.read(word)
+        return found
+
+
 class Lexicon:
-    """Scores of tokens by word and by their neighbours' shapes; as `features` gives them, but each word is read once."""
+    """Scores of tokens by their own and their neighbours' features, as `features` gives them.
+
+    Words of which all features agree have one pattern, which is read once:
+    their characters are replaced by like ones, unless a word has so many runs that
+    the runs themselves matter.
+    """
 
-    WORDS = 200_000
+    WORDS = 300_000
 
     def __init__(self, model: ChainModel) -> None:
         self.model = model
+        self.announced = np.array([[self._of(f"cue={c}/{large}") for large in (False, True)] for c in (False, True)])
+        self.alike = _Alike()
         self.clear()
 
     def clear(self) -> None:
-        k = len(LABELS)
-        self.ids: dict[str, int] = {}
+        self.ids = _Numbers(self._read)
+        self.patterns: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, int, bool, bool]] = []  # own scores, shape, cue, large
         self.shapes: dict[str, int] = {}
-        self.own, self.shape_of = np.zeros((self.WORDS, k)), np.zeros(self.WORDS, np.int64)
-        self.cue, self.large = np.zeros(self.WORDS, bool), np.zeros(self.WORDS, np.int64)
         self.before, self.after = [self._of("before=^")], [self._of("after=$")]  # shape 0: the text's edge
+        self.known = 0
 
     def _of(self, feature: str) -> np.ndarray:
         return self.model.emit[self.model.numbers.get(feature, len(self.model.numbers))]
 
-    def number(self, word: str) -> int:
-        found = self.ids.get(word)
+    def _read(self, word: str) -> int:
+        like = word.translate(self.alike)
+        if len(RUNS.findall(like)) > 3 or word.lower() in CUES:
+            like = word
+        found = self.patterns.get(like)
         if found is None:
-            found = self.ids[word] = len(self.ids)
-            if found >= len(self.own):  # one text of more distinct words
-                self.own, self.shape_of, self.cue, self.large = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.shape_of, self.cue, self.large))
-            row = features([word])[0]
-            self.own[found] = sum(self._of(f) for f in row[:7])
-            kind = shape(word)
+            found = self.patterns[like] = len(self.rows)
+            kind = shape(like)
             if kind not in self.shapes:
                 self.shapes[kind] = len(self.before)
                 self.before.append(self._of(f"before={kind}"))
                 self.after.append(self._of(f"after={kind}"))
-            self.shape_of[found], self.cue[found], self.large[found] = self.shapes[kind], word.lower() in CUES, min(len(word) // 4, 6) > 2
+            self.rows.append((sum(self._of(f) for f in features([like])[0][:7]), self.shapes[kind], like.lower() in CUES, min(len(like) // 4, 6) > 2))
         return found
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """(tokens, labels) of one text."""
-        if len(self.ids) > self.WORDS // 2:
+    def _tables(self) -> None:
+        """The patterns' scores, shapes, cues and sizes as arrays, anew when there are new ones."""
+        if self.known != len(self.rows):
+            own, kinds, cue, large = zip(*self.rows, strict=True)
+            self.own, self.kinds, self.cue, self.large = np.array(own), np.array(kinds), np.array(cue), np.array(large, np.int64)
+            self.left, self.right = np.array(self.before), np.array(self.after)
+            self.known = len(self.rows)
+
+    def scores(self, words: list[str], lengths: list[int] | None = None) -> np.ndarray:
+        """(tokens, labels) of texts that stand one after another; lengths: their tokens (one text)."""
+        if len(self.ids) > self.WORDS:
+            self.ids.clear()
+        if len(self.patterns) > self.WORDS:
             self.clear()
-        ids = np.fromiter(map(self.number, words), np.int64, len(words))
-        kinds = np.concatenate([[0], self.shape_of[ids], [0]])
+        sizes = np.array([len(words)] if lengths is None else lengths, np.int64)
+        ends = np.cumsum(sizes)[sizes > 0]
+        begins = ends - sizes[sizes > 0]
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        self._tables()
+        kinds = self.kinds[ids]
+        left, right = np.append(0, kinds[:-1]), np.append(kinds[1:], 0)
+        left[begins], right[ends - 1] = 0, 0
+        place = np.arange(len(ids)) - np.repeat(begins, ends - begins)
         cue, own = np.zeros(len(ids), np.int64), self.cue[ids]
         for d in range(1, 4):
-            cue[d:] |= own[:-d]
-        announced = np.array([[self._of(f"cue={c}/{large}") for large in (False, True)] for c in (False, True)])
-        return self.own[ids] + np.array(self.before)[kinds[:-2]] + np.array(self.after)[kinds[2:]] + announced[cue, self.large[ids]]
+            cue[d:] |= own[:-d] & (place[d:] >= d)
+        return self.own[ids] + self.left[left] + self.right[right] + self.announced[cue, self.large[ids]]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:

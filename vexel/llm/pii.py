@@ -91,40 +91,45 @@ def secret_spans(texts: list[str], model: crf.ChainModel | None) -> list[list[tu
     if (lexicon := model.__dict__.get("lexicon")) is None:
         lexicon = model.__dict__["lexicon"] = crf.Lexicon(model)
     labels: dict[int, np.ndarray] = {}
-    pending: list[tuple[int, int, int, np.ndarray]] = []  # text, first token kept, tokens before it, scores
-    held = 0
-
-    def decode() -> None:
-        pending.sort(key=lambda p: len(p[3]))
+    tokens = [crf.TOKEN.findall(text) for text in texts]
+
+    def decode(some: list[int]) -> None:
+        """Decode texts by number: cut to pieces, the pieces sorted by length and put together to batches."""
+        sizes = [len(tokens[i]) for i in some]
+        scores = lexicon.scores([w for i in some for w in tokens[i]], sizes)
+        pieces, at = [], 0  # text, first token kept, tokens before it, first and last token's row
+        for i, size in zip(some, sizes, strict=True):
+            labels[i] = np.zeros(size, np.int8)
+            for start in range(0, size, PIECE):
+                low = max(0, start - MARGIN)
+                pieces.append((i, start, start - low, at + low, at + min(size, start + PIECE + MARGIN)))
+            at += size
+        pieces.sort(key=lambda p: p[4] - p[3])
         at = 0
-        while at < len(pending):
+        while at < len(pieces):
             size = 1
-            while at + size < len(pending) and (size + 1) * len(pending[at + size][3]) <= BATCH_TOKENS:
+            while at + size < len(pieces) and (size + 1) * (pieces[at + size][4] - pieces[at + size][3]) <= BATCH_TOKENS:
                 size += 1
-            part = pending[at : at + size]
+            part = pieces[at : at + size]
             at += size
-            lengths = np.array([len(p[3]) for p in part])
-            scores = np.zeros((size, lengths.max(), len(crf.LABELS)))
-            for row, p in zip(scores, part, strict=True):
-                row[: len(p[3])] = p[3]
-            for (i, start, before, own), found in zip(part, model.best(scores, lengths), strict=True):
-                kept = found[before : min(before + PIECE, len(own))]
+            lengths = np.array([high - low for *_, low, high in part])
+            padded = np.zeros((size, lengths.max(), len(crf.LABELS)))
+            for row, (*_, low, high) in zip(padded, part, strict=True):
+                row[: high - low] = scores[low:high]
+            for (i, start, before, low, high), found in zip(part, model.best(padded, lengths), strict=True):
+                kept = found[before : min(before + PIECE, high - low)]
                 labels[i][start : start + len(kept)] = kept
-        pending.clear()
 
-    for i, text in enumerate(texts):
-        if not (words := crf.TOKEN.findall(text)):
-            continue
-        scores = lexicon.scores(words)
-        labels[i] = np.zeros(len(words), np.int8)
-        for start in range(0, len(words), PIECE):
-            low = max(0, start - MARGIN)
-            pending.append((i, start, start - low, scores[low : start + PIECE + MARGIN]))
-        held += len(words)
+    some, held = [], 0
+    for i, words in enumerate(tokens):
+        if words:
+            some.append(i)
+            held += len(words)
         if held > 8 * BATCH_TOKENS:
-            decode()
-            held = 0
-    decode()
+            decode(some)
+            some, held = [], 0
+    if some:
+        decode(some)
     for i, own in labels.items():
         if not (own == 1).any():
             continue
