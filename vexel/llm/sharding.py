@@ -1,12 +1,14 @@
 """Operator 10. Sharding by a hierarchical weighted hash tree (law ``key``).
 
-Regions hold racks, racks hold shards. Every shard makes a weighted hash draw
-for a key, ``-ln(u) / weight`` with ``u`` from the hash of key and shard path; a
-rack's draw is the least of its shards', a region's the least of its racks'.
-Such a minimum is itself a weighted draw, with the subtree's summed weight, so
-the key goes down the tree by taking the least draw at each level. When a
-weight grows or a shard is added, only draws of that subtree change: rows move
-into it and nowhere else, and of them only into the shard that changed.
+Regions hold racks, racks hold shards. A key goes down the tree: at each level
+every child of the node reached makes a weighted hash draw, ``-ln(u) / weight``
+with ``u`` from the hash of key and the child's path and the summed weight of its
+subtree, and the least draw wins. Nothing is drawn below a child that lost.
+
+When weights change, draws change only along the paths to them: keys move into or
+out of the region whose sum changed, inside it the rack, inside that the shard,
+and nowhere else. A shard that is added to a tree in use is a region of its own
+with one rack, so all that moves, moves into it.
 
 Slots are dealt without gaps in two steps, so that no task holds a shard: rows
 of a shard are spread over blocks, blocks are counted, and a row's slot is its
@@ -19,7 +21,7 @@ slots; an empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,53 +35,67 @@ BLOCK_ROWS = 20_000
 
 @dataclass(frozen=True)
 class HashTree:
-    """Shard i stands in region i mod regions and rack (i div regions) mod racks, whatever the number of shards."""
+    """Shard i stands in region i mod regions and rack (i div regions) mod racks; each of the `added` last ones in a region of its own."""
 
     shards: int
     regions: int = 4
     racks: int = 2
     weights: dict[int, float] = field(default_factory=dict)
+    added: int = 0
 
     def grown(self) -> HashTree:
-        return HashTree(self.shards + 1, self.regions, self.racks, self.weights)
+        return replace(self, shards=self.shards + 1, added=self.added + 1)
 
-    def layout(self) -> dict[int, dict[int, list[int]]]:
-        """Region -> rack -> shards of positive weight."""
-        tree: dict[int, dict[int, list[int]]] = {}
+    def layout(self) -> dict[int, dict[int, dict[int, float]]]:
+        """Region -> rack -> shard -> weight, of shards of positive weight."""
+        tree: dict[int, dict[int, dict[int, float]]] = {}
+        planned = self.shards - self.added
         for i in range(self.shards):
-            if self.weights.get(i, 1.0) > 0:
-                tree.setdefault(i % self.regions, {}).setdefault(i // self.regions % self.racks, []).append(i)
+            if (weight := float(self.weights.get(i, 1.0))) > 0:
+                region, rack = (i % self.regions, i // self.regions % self.racks) if i < planned else (self.regions + i - planned, 0)
+                tree.setdefault(region, {}).setdefault(rack, {})[i] = weight
         return tree
 
-    def choice(self, key: Column) -> Column:
-        """struct(draw, region, rack, shard) of the least draw."""
-
-        def leaf(region: int, rack: int, shard: int) -> Column:
-            drawn = F.xxhash64(key, F.lit(f"{region}/{rack}/{shard}"))
-            unit = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / float(1 << 53)
-            weight = float(self.weights.get(shard, 1.0))
-            return F.struct((-F.log(unit) / weight).alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(shard).alias("shard"))
-
-        def least(draws: list[Column]) -> Column:
-            return F.array_min(F.array(*draws))
-
+    def descend(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows with region, rack and shard."""
         layout = self.layout()
         if not layout:
             raise ValueError("the tree has no shard of positive weight")
-        return least([least([least([leaf(g, r, s) for s in shards]) for r, shards in racks.items()]) for g, racks in layout.items()])
+
+        def drawn(path: str, weight: float, child: int) -> Column:
+            unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + 0.5) / float(1 << 53)
+            return F.struct((-F.log(unit) / weight).alias("draw"), F.lit(child).alias("child"))
+
+        def least(path: str, children: dict[int, float]) -> Column:
+            """The child with the least draw; the only one wins without."""
+            if len(children) == 1:
+                return F.lit(next(iter(children)))
+            return F.array_min(F.array(*[drawn(f"{path}/{c}", w, c) for c, w in children.items()])).getField("child")
+
+        def where(chosen: Column, found: dict[int, Column]) -> Column:
+            """Only the branch taken is evaluated."""
+            out = F
+            for value, column in found.items():
+                out = out.when(chosen == value, column)
+            return out
+
+        sums = {g: {r: sum(shards.values()) for r, shards in racks.items()} for g, racks in layout.items()}
+        rows = rows.withColumn("region", least("", {g: sum(racks.values()) for g, racks in sums.items()}))
+        rows = rows.withColumn("rack", where(F.col("region"), {g: least(f"/{g}", racks) for g, racks in sums.items()}))
+        shard = where(F.col("region"), {g: where(F.col("rack"), {r: least(f"/{g}/{r}", shards) for r, shards in racks.items()}) for g, racks in layout.items()})
+        return rows.withColumn("shard", shard)
 
 
 def assign_shards(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, region, rack, shard, slot and grown_shard of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = docs.select(
+    own = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        tree.choice(F.col(id_col)).alias("at"),
-        tree.grown().choice(F.col(id_col)).getField("shard").alias("grown_shard"),
     )
-    placed = placed.select("doc_id", "size", "text_crc32", "at.region", "at.rack", "at.shard", "grown_shard", F.monotonically_increasing_id().alias("row"))
+    placed = tree.grown().descend(own, "doc_id").select("doc_id", "size", "text_crc32", F.col("shard").alias("grown_shard"))
+    placed = tree.descend(placed, "doc_id").withColumn("row", F.monotonically_increasing_id())
     placed = materialize(placed, "placed")
     blocks = max(1, -(-placed.count() // (tree.shards * BLOCK_ROWS)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
