@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from vexel.llm.bpe import PATTERN, load_merge_file, load_ranks, merge_piece
-from vexel.llm.bpe_codec import encode_decode, op6_bpe_codec
+from vexel.llm.bpe_codec import RecursiveCodec, encode_decode, op6_bpe_codec
 from vexel.llm.token_counts import RaggedCounter, count_tokens, op4_token_counts
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,3 +79,15 @@ def test_one_piece_by_heap():
         while found := min(((pairs[p], i) for i, p in enumerate(zip(slow, slow[1:], strict=False)) if p in pairs), default=None):
             slow[found[1] : found[1] + 2] = [found[0][1]]
         assert merge_piece(ids, pairs.get) == slow
+
+
+def test_bytes_come_from_the_ids():
+    """One id changed in what a worker knows: the ids and the decoded bytes of just the texts with that word change."""
+    codec = RecursiveCodec(RANKS)
+    texts = ["some plain words", "other ones", "x" * 300 + " plain", "é" * 120_000]
+    before = list(codec.run(texts))
+    assert [raw for _, _, raw in before] == [t.encode() for t in texts]
+    codec.known[" plain"] = codec.known[" words"]
+    after = list(codec.run(texts))
+    assert [raw.decode() for _, _, raw in after] == ["some words words", "other ones", "x" * 300 + " words", texts[3]]
+    assert [a == b for a, b in zip(after, before, strict=True)] == [False, True, False, True]

@@ -12,10 +12,11 @@ import json
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
+import public_tokenizers
 import regex
 
-#: Fixed value: the pattern that splits text before merging, shared by the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern that splits text before merging, shared by the byte-level vocabularies.
+PATTERN = public_tokenizers.PATTERN
 
 
 @lru_cache(maxsize=8)

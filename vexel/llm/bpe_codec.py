@@ -4,10 +4,11 @@ Each Python worker holds one DuckDB with the merge table: (left, right, merged)
 for every way a token falls into two tokens. The words of a batch become rows
 (word, position, token). A recursive query joins each row and its right
 neighbour with the merge table and contracts every word's leftmost pair of
-minimum rank, until no word has a pair left. Decoding joins (sequence,
-position, id) rows with the vocabulary and aggregates bytes in position order.
-Both maps work word by word, so a batch's distinct words are done once and
-documents are put together from them; a worker keeps words up to a bound.
+minimum rank, until no word has a pair left. Encoding works word by word, so a
+batch's distinct words are done once and a text's ids are put together from them;
+a worker keeps words up to a bound. Decoding takes the ids of every text: rows
+(text, position, id) are joined with the vocabulary and their bytes aggregated in
+the order of positions.
 
 Edge cases: null and empty texts give 0 tokens and the hashes of the empty
 string; a null id stays null; repeated rows give repeated rows; other columns
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from hashlib import sha256
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -37,6 +37,8 @@ KEPT_WORDS = 600_000
 SLICE_ROWS = 1024
 LONG_PIECE = 256
 QUERY_WORDS = 30_000
+#: Ids of one part of a sequence, and of one decoding query.
+PART_IDS, QUERY_IDS = 100_000, 500_000
 
 _CONTRACTED = """
 WITH RECURSIVE step AS (
@@ -59,14 +61,11 @@ WITH RECURSIVE step AS (
 
 ENCODE = f"{_CONTRACTED} SELECT s.word, list(s.token ORDER BY s.pos) AS ids FROM step s JOIN ended USING (word, round) GROUP BY s.word"
 
-#: Both ways in one query: the ids in decimal, and the bytes that they decode to in hexadecimal.
-ROUND_TRIP = f"""{_CONTRACTED}
-SELECT s.word, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
-FROM step s JOIN ended USING (word, round) JOIN vocabulary v ON v.token = s.token GROUP BY s.word
-"""
+#: The same with the ids in decimal, joined by commas.
+ENCODE_TEXT = f"{_CONTRACTED} SELECT s.word, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids FROM step s JOIN ended USING (word, round) GROUP BY s.word"
 
 DECODE = """
-SELECT i.seq, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT i.seq, array_to_string(list(v.hex ORDER BY i.pos), '') AS hex
 FROM ids i JOIN vocabulary v ON v.token = i.token GROUP BY i.seq
 """
 
@@ -89,8 +88,6 @@ class RecursiveCodec:
         #: word -> ids in decimal, joined by commas: the words of late, and those before them
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: words whose ids decode to other bytes than their own
-        self.unfaithful: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -123,23 +120,29 @@ class RecursiveCodec:
             out[word] = ids
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """The bytes of each sequence of ids."""
-        out = [b""] * len(sequences)
-        for start in range(0, len(sequences), QUERY_WORDS):
-            part = sequences[start : start + QUERY_WORDS]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
+    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each sequence of ids. A long sequence is decoded in parts."""
+        parts = [(i, ids[at : at + PART_IDS]) for i, ids in enumerate(sequences) for at in range(0, len(ids), PART_IDS)]
+        found: list[list[bytes]] = [[] for _ in sequences]
+        start = 0
+        while start < len(parts):
+            end, held = start, 0
+            while end < len(parts) and (end == start or held + len(parts[end][1]) <= QUERY_IDS):
+                held += len(parts[end][1])
+                end += 1
+            own = [ids for _, ids in parts[start:end]]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            flat = np.fromiter((t for ids in part for t in ids), np.int32, int(sizes.sum()))
-            rows = pa.table({"seq": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(flat)) - first).astype(np.int32), "token": flat})
+            rows = pa.table({"seq": np.repeat(np.arange(len(own), dtype=np.int32), sizes), "pos": (np.arange(held) - first).astype(np.int32), "token": np.concatenate(own).astype(np.int32)})
             self.db.register("ids", rows)
-            for seq, hexed in self.db.execute(DECODE).fetchall():
-                out[start + seq] = bytes.fromhex(hexed)
+            for seq, hexed in sorted(self.db.execute(DECODE).fetchall()):
+                found[parts[start + seq][0]].append(bytes.fromhex(hexed))
             self.db.unregister("ids")
-        return out
+            start = end
+        return [b"".join(x) for x in found]
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode the words not yet known."""
+        """Encode the words not yet known."""
         if len(self.known) > self.kept_words // 2:
             self.older, self.known = self.known, {}
         unseen = []
@@ -149,29 +152,20 @@ class RecursiveCodec:
             else:
                 unseen.append(word)
         raw = [w.encode() for w in unseen]
-        decoded = ((word, ids, bytes.fromhex(hexed)) for word, ids, hexed in self._contract(raw, ROUND_TRIP))
-        long = [(i, self._merge_long(r)) for i, r in enumerate(raw) if len(r) > LONG_PIECE]
-        decoded_long = zip((i for i, _ in long), (",".join(map(str, ids)) for _, ids in long), self.decode([ids for _, ids in long]), strict=True)
-        for i, ids, back in chain(decoded, decoded_long):
+        for i, ids in self._contract(raw, ENCODE_TEXT):
             self.known[unseen[i]] = ids
-            if back != raw[i]:
-                self.unfaithful[unseen[i]] = back
+        for i, word in enumerate(raw):
+            if len(word) > LONG_PIECE:
+                self.known[unseen[i]] = ",".join(map(str, self._merge_long(word)))
 
     def run(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """Of each text: the number of ids, the ids in decimal joined by commas, the bytes they decode to.
-
-        A text decodes to what its words decode to, one after another; words whose
-        ids have decoded to their own bytes need not be kept twice.
-        """
+        """Of each text: the number of ids, the ids in decimal joined by commas, the bytes they decode to."""
         pieces = [self.split.findall(t) for t in texts]
         self.learn({w for words in pieces for w in words})
-        for words in pieces:
-            ids = ",".join(map(self.known.__getitem__, words))
-            if self.unfaithful and not self.unfaithful.keys().isdisjoint(words):
-                back = b"".join(self.unfaithful.get(w, w.encode()) for w in words)
-            else:
-                back = "".join(words).encode()
-            yield ids.count(",") + 1 if ids else 0, ids, back
+        listed = [",".join(map(self.known.__getitem__, words)) for words in pieces]
+        numbers = [np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32) for ids in listed]
+        for ids, row, raw in zip(listed, numbers, self.decode(numbers), strict=True):
+            yield len(row), ids, raw
 
 
 @lru_cache(maxsize=2)
