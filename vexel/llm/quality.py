@@ -174,10 +174,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    _, thresholds = score_quality(docs, labels, id_col, text_col, stratum_col)
+    """The rows of docs that the rules keep, with all their columns. Rows are written once with their measures, which both the cutoffs and the verdicts read."""
     own = fresh(docs, "__quality")
-    judged = with_measures(docs, text_col, own)
+    judged = materialize(with_measures(docs, text_col, own), "judged")
+    measured = judged.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(own).alias("m"))
+    thresholds = calibrate(labelled_signals(measured, labels.select("doc_id", "quality")))
     kept = ~base_failed(F.col(own)) & verdict(F.col(stratum_col), own, thresholds)
     return judged.where(kept).drop(own)
 

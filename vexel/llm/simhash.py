@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import fresh, materialize, table, text_slices
+from vexel.llm.common import fresh, hub_join, materialize, table, text_slices
 from vexel.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -204,7 +204,7 @@ def near_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     buckets = distinct.select("fp", keys.alias("choice", "bucket"))
     crowded = buckets.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
     crowded = crowded.select("choice", "bucket", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"))
-    dealt = buckets.join(F.broadcast(crowded) if n <= 4_000_000 else crowded, ["choice", "bucket"], "left")
+    dealt = buckets.join(materialize(crowded, "crowded"), ["choice", "bucket"], "left")
     shards = F.coalesce("shards", F.lit(1))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("fp"), shards).cast("int")).withColumn("shards", shards)
     meets = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
@@ -222,12 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """rows (doc_id, fp) with component_id."""
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    groups = connected_components(near_links(distinct.select("fp"), distinct.count(), radius))
-    named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(least, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    known = distinct.count()
+    groups = connected_components(near_links(distinct.select("fp"), known, radius))
+    named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = hub_join(named.select("fp", "rows", "component"), least, "component", known).select("fp", F.col("rows").alias("n"), "component_id")
+    return hub_join(rows, materialize(named, "named"), "fp", rows.count())
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
