@@ -20,7 +20,8 @@ from vexel.operators.autocut import autocut
 from vexel.operators.placement import append_shards, first_fit, with_positions
 from vexel.operators.rerank import WEIGHTS, combined, hybrid_rerank, ranked
 from vexel.operators.search import ARROW, INT8, batch_top_k, scored, top_k
-from vexel.plans.filters import Columns, compile_filters
+from vexel.plans.filters import Columns, Tagged, compile_filters, tagged
+from vexel.plans.text_sql import features_sql, partial_ratio_sql
 from vexel.scratch import scratch_dir
 from vexel.sources.store import VectorTable
 
@@ -162,6 +163,17 @@ def _filtered(**filters) -> Query:
     return query
 
 
+def _tagged(**filters) -> Query:
+    """The same filters over a map of metadata, the form that vector tables store."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _events(spark, sf_dir)
+        held = rows.select("event_id", tagged(rows, ["event_type", "k", "ts", "user_id", "value"]).alias("metadata"))
+        return held.where(compile_filters(Tagged("metadata"), **filters)).select("event_id")
+
+    return query
+
+
 def _event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").withColumn("tags", F.array("event_type", F.concat(F.lit("u"), F.col("user_id") % 10)))
     return rows.where(compile_filters(Columns(rows.schema), {"tags": {"$in": "u3"}})).select("event_id")
@@ -336,7 +348,7 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES} | {name: _filtered(**given) for name, (given, _) in FILTERS.items()} | {"filter_in_array": _event_tags}
+    return {q.__name__: q for q in QUERIES} | {name: _filtered(**given) for name, (given, _) in FILTERS.items()} | {f"tagged_{name}": _tagged(**given) for name, (given, _) in FILTERS.items()} | {"filter_in_array": _event_tags}
 
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -415,9 +427,14 @@ UNION ALL SELECT vec_id + 1000000, 0::INT, (SELECT count(*) FROM embeddings) + v
     "store_search": _top(_COS, K, "DESC"),
     "rerank_combine": """SELECT event_id, total, CAST(row_number() OVER (ORDER BY total DESC, event_id) - 1 AS INT) AS rank FROM
 (SELECT event_id, round((event_id % 97) / 97::DOUBLE * 0.8::DOUBLE + (event_id % 89) / 89::DOUBLE * 0.15::DOUBLE + (event_id % 101) * 0.05::DOUBLE, 6) AS total FROM events) QUALIFY rank < 20""",
+    "text_hash_features": f"""WITH {features_sql("SELECT item_id AS id, text AS t FROM benchmark")}
+SELECT id AS item_id, list(CASE WHEN norm = 0 THEN 0 ELSE v / norm END ORDER BY bucket) AS features FROM features GROUP BY id""",
+    "text_hash_scores": f"""WITH {features_sql(f"SELECT item_id AS id, text AS t FROM benchmark UNION ALL SELECT -1, '{QUERY_TEXT}'")}
+SELECT f.id AS item_id, round(sum(f.v / f.norm * (q.v / q.norm)), 6) AS score FROM features f JOIN features q ON q.id = -1 AND q.bucket = f.bucket WHERE f.id >= 0 GROUP BY f.id""",
+    "fuzzy_ratio": f"SELECT id AS item_id, ratio FROM ({partial_ratio_sql(QUERY_TEXT, 'SELECT item_id AS id, text AS t FROM benchmark')})",
     "filter_in_array": "SELECT event_id FROM events WHERE user_id % 10 = 3",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {name: f"SELECT event_id FROM {_EVENTS} WHERE {sql}" for name, (_, sql) in FILTERS.items()}
+    return ORACLE | {prefix + name: f"SELECT event_id FROM {_EVENTS} WHERE {sql}" for name, (_, sql) in FILTERS.items() for prefix in ("", "tagged_")}

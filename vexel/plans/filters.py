@@ -17,7 +17,8 @@ from datetime import date, datetime
 from functools import reduce
 from typing import Any, Protocol
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +79,36 @@ def encode_metadata(metadata: Mapping[str, Any] | None) -> dict[str, tuple]:
     return out
 
 
+@F.pandas_udf(T.StringType())
+def _canonical_fractions(values: pd.Series) -> pd.Series:
+    return values.map(canonical)
+
+
+def tagged(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """Typed columns (text, numbers, timestamps and dates) as one map of tagged values, as encode_metadata gives them; nulls have no entry."""
+
+    def value(name: str) -> Column:
+        kind, own = rows.schema[name].dataType, F.col(name)
+        none = {f.name: F.lit(None).cast(f.dataType) for f in TAGGED.fields}
+        if isinstance(kind, T.StringType):
+            own = none | {"kind": F.lit("str"), "str": own, "canon": F.concat(F.lit("s:"), own)}
+        elif isinstance(kind, T.IntegralType):
+            own = none | {"kind": F.lit("num"), "num": own.cast("double"), "str": F.lit("int"), "canon": F.concat(F.lit("n:"), own.cast("string"))}
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            own = none | {"kind": F.lit("num"), "num": own.cast("double"), "str": F.lit("float"), "canon": _canonical_fractions(own.cast("double"))}
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            stamp = own.cast("timestamp_ntz")
+            whole = "yyyy-MM-dd" if isinstance(kind, T.DateType) else "yyyy-MM-dd'T'HH:mm:ss"
+            fraction = F.when(F.date_format(stamp, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(stamp, "SSSSSS"))).otherwise("")
+            own = none | {"kind": F.lit("ts"), "ts": stamp, "canon": F.concat(F.lit("t:"), F.date_format(stamp, whole), fraction)}
+        else:
+            raise TypeError(f"{name}: {kind.simpleString()} has no tagged form")
+        return F.struct(F.lit(name).alias("key"), F.when(F.col(name).isNotNull(), F.struct(*[own[f.name].alias(f.name) for f in TAGGED.fields])).alias("value"))
+
+    entries = F.filter(F.array(*[value(c) for c in columns]), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(entries).cast(METADATA)
+
+
 def _parts(text: str) -> list[str]:
     out, at = [], 0
     while at < len(text):
