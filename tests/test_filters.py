@@ -9,7 +9,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
-from vexel.plans.filters import METADATA, Columns, Tagged, canonical, compile_filters, decode_metadata, encode_metadata, tagged
+from vexel.plans.filters import METADATA, Columns, Tagged, canonical, compile_filters, decode_metadata, encode_metadata
+from vexel.plans.filters import tagged as tagged_columns
 
 MISSING = object()
 ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
@@ -176,6 +177,6 @@ def test_tagged_columns_equal_encoded_rows(spark):
     """Typed columns on the executors give the map that single rows are encoded to."""
     values = [("a", 7, 20.5, datetime(2024, 1, 5, 3, 4, 5), date(2024, 2, 3)), ("é:", -1, 3.0, datetime(2024, 1, 5, 3, 4, 5, 60), None), (None, 2**40, 1e-7, None, date(1999, 12, 31)), ("", 0, 12345678.25, None, None), ("x", None, 1e22, None, None)]
     rows = spark.createDataFrame(values, "s string, n long, x double, t timestamp_ntz, d date")
-    found = rows.select(tagged(rows, rows.columns).alias("m")).collect()
+    found = rows.select(tagged_columns(rows, rows.columns).alias("m")).collect()
     want = spark.createDataFrame([(encode_metadata({k: v for k, v in zip(rows.columns, row, strict=True) if v is not None}),) for row in values], T.StructType([T.StructField("m", METADATA)])).collect()
     assert [{k: tuple(v) for k, v in r["m"].items()} for r in found] == [{k: tuple(v) for k, v in r["m"].items()} for r in want]
