@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.functions.embedding import HashEmbedder, OnnxEmbedder, embed, embedding_model, extract_embeddings, masked_mean
-from vexel.functions.text import cosine_of, hash_features, murmur3_32, partial_ratio
+from vexel.functions.text import cosine_of, hash_features, hash_features_batch, murmur3_32, partial_ratio
 from vexel.operators.autocut import autocut, autocut_distances, autocut_scores
 from vexel.operators.rerank import hybrid_rerank_results
 from vexel.operators.search import batch_top_k, scored, top_k
@@ -116,3 +116,10 @@ def test_kernels_agree(spark, small_dir):
     for bad in ({"k": 0}, {"kernel": "other"}, {"metric": "other"}):
         with pytest.raises(ValueError):
             top_k(rows, query, tie_col="vec_id", **bad)
+
+
+def test_hash_features_of_a_batch():
+    """All texts together give what each gives alone."""
+    rng = random.Random(12)
+    texts = [None, "", "a", "  \n", "é\U0001f600中 x", *("".join(rng.choice("ab é中\U0001f600\t Z") for _ in range(rng.randint(0, 60))) for _ in range(80))]
+    assert hash_features_batch(texts).tolist() == [hash_features(t) for t in texts] and hash_features_batch([]).shape == (0, 64)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-from vexel.functions.text import hash_features
+from vexel.functions.text import hash_features_batch
 
 Encode = Callable[[list[str]], np.ndarray]
 
@@ -46,7 +46,7 @@ class HashEmbedder:
     dimension: int = 64
 
     def load(self) -> Encode:
-        return lambda texts: np.array([hash_features(t, self.dimension) for t in texts], np.float32).reshape(-1, self.dimension)
+        return lambda texts: hash_features_batch(texts, self.dimension).astype(np.float32)
 
 
 @dataclass(frozen=True)

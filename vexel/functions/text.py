@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import types as T
@@ -56,6 +58,51 @@ def hash_features(text: str | None, buckets: int = BUCKETS, ngrams: tuple[int, i
     return [x / norm for x in out] if norm else out
 
 
+#: Characters whose n-grams are hashed at once.
+_CHARS = 200_000
+
+
+def _scramble_all(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(0xCC9E2D51)
+    return ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+
+
+def _murmur_all(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """MurmurHash3 of many short byte ranges. words: at every byte the four bytes from there on."""
+    h, whole, rest = np.zeros(len(start), np.uint32), size // 4, size % 4
+    for block in range(int(whole.max(initial=0))):
+        own = np.flatnonzero(whole > block)
+        x = h[own] ^ _scramble_all(words[start[own] + 4 * block])
+        h[own] = ((x << np.uint32(13)) | (x >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+    own = np.flatnonzero(rest)
+    tail = words[start[own] + 4 * whole[own]] & ((np.uint32(1) << (8 * rest[own]).astype(np.uint32)) - np.uint32(1))
+    h[own] ^= _scramble_all(tail)
+    h ^= size.astype(np.uint32)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def hash_features_batch(texts: Sequence[str | None], buckets: int = BUCKETS, ngrams: tuple[int, int] = NGRAMS) -> np.ndarray:
+    """hash_features of every text, as rows; the n-grams of all texts are hashed together."""
+    clean = [re.sub(r"\s\s+", " ", (t or "").lower()) for t in texts]
+    raw = np.frombuffer("".join(clean).encode(), np.uint8)
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    owner = np.repeat(np.arange(len(clean)), [len(t) for t in clean])
+    padded = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+    words = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24) if len(raw) else np.zeros(0, np.uint32)
+    out = np.zeros(len(clean) * buckets)
+    for low in range(0, len(owner), _CHARS):
+        for n in range(ngrams[0], ngrams[1] + 1):
+            at = np.arange(low, min(low + _CHARS, len(owner) - n + 1))
+            at = at[owner[at] == owner[at + n - 1]]
+            h = _murmur_all(words, starts[at], starts[at + n] - starts[at]).astype(np.int64)
+            out += np.bincount(owner[at] * buckets + np.abs(h) % buckets, np.where(h >= 0, 1.0, -1.0), len(out))
+    out = out.reshape(-1, buckets)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
 def cosine_of(a: list[float], b: list[float]) -> float:
     """NaN where a side is zero."""
     norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
@@ -105,7 +152,7 @@ def _best_window(short: str, long: str) -> float:
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_features_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(hash_features)
+    return pd.Series(list(hash_features_batch(texts.tolist())))
 
 
 def text_hash_score(query: str, text: Column) -> Column:
@@ -113,7 +160,7 @@ def text_hash_score(query: str, text: Column) -> Column:
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cosine_of(own, hash_features(t)))
+        return pd.Series([cosine_of(own, row) for row in hash_features_batch(texts.tolist()).tolist()])
 
     return score(text)
 
