@@ -2,10 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
-from vexel.llm import simhash
-from vexel.llm.components import connected_components
+from vexel.llm import components, simhash
+from vexel.llm.components import connected_components, star_forest
 from vexel.llm.simhash import BKTree, block_choices, blocks_for, components_of, fingerprint, keep_one_of_each, near_duplicates, op9_simhash_bktree
 
 
@@ -104,6 +106,29 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 7, 500_000])
+def test_components_of_blocks(spark, monkeypatch, block):
+    """Paths, hubs and random edges of signed ends, however few edges a task holds together."""
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    rng = random.Random(block)
+    names = [rng.getrandbits(64) - (1 << 63) for _ in range(160)]
+    edges = [(names[i], names[i + 1]) for i in range(40)] + [(names[50], names[i]) for i in range(51, 90)] + [(names[90 + rng.randrange(70)], names[90 + rng.randrange(70)]) for _ in range(40)]
+    whole = {n: n for edge in edges for n in edge}
+    for _ in whole:  # plain rounds of least labels
+        for x, y in edges:
+            whole[x] = whole[y] = min(whole[x], whole[y])
+    a, b = star_forest(*(np.array(c, np.int64) for c in zip(*edges, strict=True)))
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {n: least for n, least in whole.items() if n != least}
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges[i : i + 3], strict=True)], ["a", "b"]) for i in range(0, len(edges), 3)]
+    blocks = [part.to_pylist() for part in components._stars(iter(batches))]
+    parts = [tuple(e.values()) for block_edges in blocks for e in block_edges]
+    assert all(x > y for x, y in parts) and (len(blocks) == 1) == (block == 500_000)
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert found == whole
+    again = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(parts, "a long, b long")).collect()}
+    assert again == whole
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count() and near_duplicates(no_docs).count() == 0

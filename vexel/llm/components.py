@@ -3,17 +3,66 @@
 Edges are pairs of longs. Each round is one grouping for each star, whose
 neighbourhood minimum is aggregated before the shuffle. A node with very many
 neighbours, as the stars themselves make, gets its minimum by broadcast
-(`hub_join`), so no task gathers a node's neighbours. A round's edges are written
-to the shared folder, which cuts the lineage.
+(`hub_join`), so no task gathers a node's neighbours. Between rounds every task
+replaces the edges that it holds, in blocks of BLOCK_EDGES, by stars with the same
+components, so that what fits in few blocks needs few rounds. A round's edges are
+written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.common import hub_join, materialize
 
+#: Edges that a task turns into stars together.
+BLOCK_EDGES = 500_000
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node of the edges (a, b) to the least node of its component, but for that node itself."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            break
+        low = np.minimum(rx, ry)[apart]
+        np.minimum.at(root, np.maximum(rx, ry)[apart], low)
+        while not np.array_equal(jumped := root[root], root):
+            root = jumped
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """star_forest of every block of edges."""
+
+    def close() -> pa.RecordBatch:
+        found = star_forest(*(np.concatenate([part[i] for part in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([np.asarray(batch.column(i)) for i in (0, 1)])
+        n += batch.num_rows
+        if n >= BLOCK_EDGES:
+            yield close()
+            held, n = [], 0
+    if n:
+        yield close()
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_stars, "a long, b long")
+
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to the least node of its neighbourhood."""
@@ -37,14 +86,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     known = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    pairs = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = materialize(pairs, "edges")
+    current = materialize(_contracted(_contracted(known).distinct()), "edges")
     before = None
     while True:
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == before:
             break
         before = now
-        current = materialize(_small_star(_large_star(current, now[0]), now[0]), "edges")
+        current = materialize(_contracted(_small_star(_large_star(current, now[0]), now[0])), "edges")
     # a star forest: every edge runs from a node to its component's least node
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
