@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,3 +101,22 @@ def test_spaced_out_sentences_come_back(corpus_rows, model):
         written = gap.join(" ".join(w) for w in plain.split())
         assert len(plain) > 50 and {"idiot", "moron", "stupid", "pathetic"} <= own.words(written), own.words(written)
     assert {"idiot", "moron", "stupid"} <= set(own.restored(written).split())
+
+
+def test_letters_of_other_scripts_come_back(model):
+    restorer = Restorer(model)
+    plain = "the people"
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in plain)
+    styled = "".join(chr(0x1D41A + ord(c) - 97) if c != " " else c for c in plain)
+    assert restorer.restored(wide) == restorer.restored(styled) == plain
+    assert restorer.words(wide) == restorer.words(styled) == {"the", "people"}
+    assert restorer.words("реорle") == {"people"} and restorer.restored("a реорle!") == "a people!"
+    assert restorer.words("мама и море") == {"мама", "и", "море"}  # one script: as it is
+
+
+def test_one_run_of_letters_takes_linear_time(model):
+    restorer = Restorer(model)
+    for unit in ("x", "aaabbb", "1xxx"):
+        began = time.perf_counter()
+        restorer.words(unit * (200_000 // len(unit)))
+        assert time.perf_counter() - began < 6, unit

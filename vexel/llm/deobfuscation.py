@@ -5,7 +5,9 @@ from counts over all texts. A word that mixes letters with look-alike signs,
 stretches letters, or is spaced out becomes a lattice: every sign offers the
 letters it may stand for, every run of one letter offers one or two of it, and
 between the letters of a spaced-out run a space is offered too, so that whole
-sentences come back as words. The best path weighs the channel's cost against the
+sentences come back as words. Full-width and styled letters are folded first
+(compatibility forms), and Cyrillic or Greek letters among Latin ones stand for
+the letters that they look like; a word of one script alone stays as it is. The best path weighs the channel's cost against the
 model, in time linear in the length, which has no bound.
 """
 
@@ -20,6 +22,8 @@ import numpy as np
 
 #: Signs and the letters that they stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou"}
+#: Cyrillic and Greek letters and the Latin ones that they look like (fixed values).
+HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 LETTERS = 27  # a to z, and 0 for everything else
 #: The channel's log-probabilities of a word going on and ending at a gap: where all gaps are alike, of one sign beside wider ones, of two signs beside narrower ones.
 GAP_ALIKE, GAP_NARROW, GAP_WIDE = (0.0, 0.0), (0.0, -7.0), (-4.0, 0.0)
@@ -93,7 +97,17 @@ class CharModel:
 def folded(char: str) -> str:
     point = ord(char)
     code = int(letter_codes()[point]) if point < 0x250 else 0
-    return chr(96 + code) if code else ""
+    return chr(96 + code) if code else HOMOGLYPHS.get(char, "")
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, compatibility forms folded."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
+
+
+def mixed(word: str) -> bool:
+    """Latin letters, and others that look like Latin ones."""
+    return not word.isascii() and any(c in HOMOGLYPHS for c in word) and any("a" <= c <= "z" for c in word)
 
 
 def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
@@ -146,12 +160,12 @@ def spaced_lattice(run: str) -> Iterator[list[tuple[str, float]]]:
 
 
 def needs_restoring(word: str) -> bool:
-    """Letters among look-alikes, or a stretched letter. word: lower case, without outer punctuation."""
+    """Letters among look-alikes, letters of mixed scripts, or a stretched letter. word: lower case, without outer punctuation."""
     if len(word) < 3:
         return False
     letters = sum(c.isalpha() for c in word)
     if letters == len(word):
-        return STRETCHED.search(word) is not None
+        return STRETCHED.search(word) is not None or mixed(word)
     return letters >= 1 and all(c.isalpha() or c in LOOKALIKES for c in word)
 
 
@@ -169,25 +183,29 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The distinct lower-case words of a text after restoration."""
-        text = text.lower()
+        text = lowered(text)
         out: set[str] = set()
         for token in set(text.split()):
             if token.isalpha():
                 word = token
             elif not (word := bare(token)):
                 continue
-            if word.isalpha():
+            if word.isalpha() and not mixed(word):
                 out.add(word)
             elif needs_restoring(word):
                 out.add(self.decode(word))
             else:
                 out.update(p for p in re.split(r"[\W_]+", word) if p)
+        done = 0
         for found in STRETCHED.finditer(text):
+            if found.start() < done:
+                continue  # in the run of the match before
             start, end = found.start(), found.end()
             while start and text[start - 1].isalnum():
                 start -= 1
             while end < len(text) and text[end].isalnum():
                 end += 1
+            done = end
             if needs_restoring(word := text[start:end]):
                 out.add(self.decode(word))
         for found in SPACED.finditer(text):
@@ -202,5 +220,5 @@ class Restorer:
             word = bare(match[0])
             return match[0].replace(word, self.decode(word), 1) if word and needs_restoring(word) else match[0]
 
-        joined = SPACED.sub(lambda m: self.decode_spaced(m[0]), text.lower())
+        joined = SPACED.sub(lambda m: self.decode_spaced(m[0]), lowered(text))
         return re.sub(r"\S+", one, joined)
