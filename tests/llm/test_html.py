@@ -102,6 +102,21 @@ def test_the_array_decides_unmarked_pages(spark, monkeypatch):
     assert sum(a != b for a, b in zip(off, want.values(), strict=True)) == 200
 
 
+def test_cut_hosts_know_repeats_in_marked_blocks(spark, monkeypatch):
+    """Words that one page leaves open and others have in a menu or an article: covered in a whole host, and so in one cut to parts."""
+    rng = random.Random(6)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    menu, story, rows = words(14), words(30), []
+    for i in range(40):
+        shared = f"<nav>{menu}</nav><article><p>{story}</p></article>" if i % 4 else f"<div>{menu}</div><div>{story}</div>"
+        rows.append((i, f"http://mixed{i // 4}/{i}", f"{shared}<div>{words(20)}</div>" if i % 2 else shared))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in extract_text(pages).collect()}
+    assert [whole[i] for i in range(0, 40, 4)] == [""] * 10
+    monkeypatch.setattr(html_extraction, "PART_BYTES", 50)
+    assert {r["page_id"]: r["text"] for r in extract_text(pages).collect()} == whole
+
+
 def test_unmarked_blocks_beside_an_article():
     pages = [blocks_of(f"<div>{' '.join(f's{k}' for k in range(12))}</div><article><p>own {i}</p></article><div>{' '.join(f'u{i}x{k}' for k in range(12))}</div>") for i in range(3)]
     assert main_texts(pages) == [f"own {i}\n" + " ".join(f"u{i}x{k}" for k in range(12)) for i in range(3)]

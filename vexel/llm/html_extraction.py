@@ -6,8 +6,9 @@ are concatenated with a separator of its own after each page, and their suffixes
 are sorted to a depth of RUN tokens by prefix doubling. Neighbours in that order
 that agree on RUN tokens and stem from distinct pages are repeated substrings;
 all positions under them are covered. Parts of a large host exchange the hashes of
-their windows of RUN tokens, so that a substring that two parts have once each is
-covered in both.
+their windows of RUN tokens, those inside marked blocks too where another part
+leaves the same words open, so that a substring that two parts have once each is
+covered in both, as in a host that is not cut.
 
 A block that is covered by half is a host's boilerplate, the rest are the
 page's unique runs. An exact check by the page's own markup follows, since
@@ -26,6 +27,7 @@ unmarked blocks repeated; other columns are ignored. A page is a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ PART_BYTES = 1 << 20
 BROADCAST_HOSTS = 100_000
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
+WINDOWS = "host string, part int, window long"
 
 
 def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +133,13 @@ def main_texts(pages: list[list[TextBlock]], run: int = RUN, known: np.ndarray |
     return out
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, part, html) as windows of RUN tokens of blocks that the markup leaves open, each once for a host's part in a batch."""
+def _windows(open_: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, part, html) as windows of RUN tokens, each once for a host's part in a batch: those that meet a block that the markup leaves open, or the others."""
     for batch in batches:
         found: dict[tuple[str, int], list[np.ndarray]] = {}
         for host, part, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             blocks = blocks_of(page or "")
-            if all(b.role != NEUTRAL for b in blocks):
+            if open_ and all(b.role != NEUTRAL for b in blocks):
                 continue
             tokens, spans = token_stream(blocks)
             near = np.zeros(len(tokens), bool)
@@ -144,7 +147,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if block.role == NEUTRAL:
                     near[max(0, start - RUN + 1) : end] = True
             hashes = window_hashes(tokens)
-            found.setdefault((host, part), []).append(hashes[near[: len(hashes)]])
+            found.setdefault((host, part), []).append(hashes[near[: len(hashes)] == open_])
         for (host, part), hashes in found.items():
             own = np.unique(np.concatenate(hashes))
             yield pa.RecordBatch.from_arrays([pa.array([host] * len(own), pa.string()), pa.array([part] * len(own), pa.int32()), pa.array(own)], ["host", "part", "window"])
@@ -188,11 +191,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     dealt = rows.join(F.broadcast(large) if few else large, "host", "left")
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = dealt.select("host", part.alias("part"), F.col("parts").isNotNull().alias("cut"), "page_id", "url", "html")
-    # windows that several parts of a host have, given to each of these parts
-    windows = dealt.where("cut").select("host", "part", "html").mapInArrow(_open_windows, "host string, part int, window long").distinct()
-    windows = materialize(windows, "windows")
-    counts = windows.groupBy("host", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    known = windows.join(counts, ["host", "window"], "left_semi").groupBy("host", "part").agg(F.collect_list("window").alias("windows"))
+    # windows of open blocks that other parts of the host have too, in blocks of any role, given to each part that has them open
+    cut = dealt.where("cut").select("host", "part", "html")
+    opened = materialize(cut.mapInArrow(partial(_windows, True), WINDOWS).distinct(), "windows")
+    hosts = opened.select("host").distinct()
+    others = cut.join(F.broadcast(hosts) if few else hosts, "host", "left_semi").mapInArrow(partial(_windows, False), WINDOWS)
+    others = others.join(opened.select("host", "window").distinct(), ["host", "window"], "left_semi").select("host", "part", "window")
+    several = opened.union(others).distinct().groupBy("host", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    known = opened.join(several, ["host", "window"], "left_semi").groupBy("host", "part").agg(F.collect_list("window").alias("windows"))
     none = F.lit(None)
     known = known.select("host", "part", none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), "windows")
     rows = dealt.select("host", "part", "page_id", "url", "html", none.cast("array<long>").alias("windows")).union(known)
