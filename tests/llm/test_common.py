@@ -32,3 +32,13 @@ def test_hub_joins(spark, monkeypatch):
     plain = sorted(map(tuple, rows.join(keyed.drop("n"), "k").collect()))
     assert sorted(map(tuple, hub_join(rows, keyed, "k", 300).select("k", "x", "m").collect())) == plain
     assert sorted(map(tuple, salted_join(rows, keyed.drop("n"), "k", "x", 300).select("k", "x", "m").collect())) == plain
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    run = common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(run) == 2 and next(run) == 3 and not seen
+    assert list(run) == [] and seen == ["back"]
+    monkeypatch.undo()
+    common.give_back()

@@ -162,3 +162,17 @@ def test_rows_kept_though_scans_are_cut_otherwise(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert sorted(r["doc_id"] for r in found) == list(range(40))
+
+
+def test_links_are_written_before_they_are_joined(spark, monkeypatch):
+    """Else tasks run two Python steps side by side, and executors keep a worker for each."""
+    plans = []
+
+    def watched(edges):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return connected_components(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in simhash.near_duplicates(docs).collect()) == [1, 1, 3]
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]

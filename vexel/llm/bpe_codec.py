@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm.bpe import load_ranks, merge_piece, pair_merges, splitter
-from vexel.llm.common import table, text_slices
+from vexel.llm.common import lean, table, text_slices
 
 #: Words that a worker keeps, documents whose words are learnt together, bytes of a piece beyond which a heap merges it, words of one recursive query.
 KEPT_WORDS = 600_000
@@ -184,7 +184,6 @@ def _run_batches(path: str, digest: bool, kept_words: int, slice_rows: int, batc
             decoded.append(sha256(raw).hexdigest() if digest else raw)
         columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string() if digest else pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
-    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, kept_words: int = KEPT_WORDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -194,7 +193,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
     Less of either costs time and changes no result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_run_batches, ranks_path, digest, kept_words, slice_rows), DIGEST_SCHEMA if digest else SCHEMA)
+    return rows.mapInArrow(lean(partial(_run_batches, ranks_path, digest, kept_words, slice_rows)), DIGEST_SCHEMA if digest else SCHEMA)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.scratch import materialize, scratch_dir
 
-__all__ = ["fresh", "hub_join", "materialize", "salted_join", "scratch_dir", "ship", "table", "text_blocks", "text_slices"]
+__all__ = ["fresh", "hub_join", "lean", "materialize", "salted_join", "scratch_dir", "ship", "table", "text_blocks", "text_slices"]
 
 #: Rows of an Arrow batch that Python code holds as objects at once, and the bytes of text after which a slice ends.
 SLICE_ROWS = 512
@@ -70,6 +73,23 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, salt_by: str, total
     return cut.join(repeated, [key, "__salt"]).drop("__salt")
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: Arrow's, and where the C library is glibc its."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _run_lean(work: Callable[[Iterator], Iterator], batches: Iterator) -> Iterator:
+    yield from work(batches)
+    give_back()
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work for mapInArrow, that gives memory back when a task ends: its Python worker lives on beside tasks that need the memory."""
+    return partial(_run_lean, work)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

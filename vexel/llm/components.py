@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import hub_join, materialize
+from vexel.llm.common import hub_join, lean, materialize
 
 #: Edges that a task turns into stars together.
 BLOCK_EDGES = 500_000
@@ -61,7 +61,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return edges.mapInArrow(_stars, "a long, b long")
+    return edges.mapInArrow(lean(_stars), "a long, b long")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -82,6 +82,9 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the least node reachable) of every node of an edge. edges: two long columns, in any order, loops and repeats allowed.
 
+    Edges that Python makes are best written first: a task would run that Python and
+    this one's side by side, and the executor keep a worker for each.
+
     Edge cases: edges with a null end are ignored; no edges give no rows.
     """
     a, b = edges.columns

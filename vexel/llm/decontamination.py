@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import table, text_slices
+from vexel.llm.common import lean, table, text_slices
 
 MIN_TILE, COVERAGE = 5, 0.5
 #: Bytes of item text in one broadcast block.
@@ -216,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), _TYPES, strict=True)], _NAMES)
 
-        out = out.union(rows.mapInArrow(tile, SCHEMA))
+        out = out.union(rows.mapInArrow(lean(tile), SCHEMA))
     return out
 
 
@@ -237,7 +237,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 keep = [not any(hit[1] >= threshold for hit in block.matches(t.as_py())) for t in batch.column(place)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm import crf
-from vexel.llm.common import table, text_slices
+from vexel.llm.common import lean, table, text_slices
 
 #: Kinds in their order within a position (the first four fixed).
 BASE = ("email", "ip", "card", "phone")
@@ -235,7 +235,7 @@ def find_pii(docs: DataFrame, model: crf.ChainModel | None, id_col: str = "doc_i
                 rows.append((i, *counts[:4], sha256(joined(base).encode()).hexdigest(), joined(spans), counts[4]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(find), SCHEMA)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -262,7 +262,7 @@ def redact(docs: DataFrame, model: crf.ChainModel | None, text_col: str = "text"
                 new = [t if t is None else redacted(t, s) for t, (_, s) in zip(texts, spans, strict=True)]
                 yield part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
 
-    out = docs.mapInArrow(clean, docs.schema)
+    out = docs.mapInArrow(lean(clean), docs.schema)
     if length_col:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return out

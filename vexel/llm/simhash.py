@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import fresh, hub_join, materialize, table, text_slices
+from vexel.llm.common import fresh, hub_join, lean, materialize, table, text_slices
 from vexel.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -144,7 +144,7 @@ def _placed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def block_choices(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -211,7 +211,7 @@ def near_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     dealt = dealt.withColumn("other", meets)
     dealt = dealt.select("choice", "bucket", F.least("shard", "other").alias("lhs"), F.greatest("shard", "other").alias("rhs"), "shard", "fp")
     sorted_rows = dealt.repartition("choice", "bucket", "lhs", "rhs").sortWithinPartitions("choice", "bucket", "lhs", "rhs", "shard", "fp")
-    return sorted_rows.mapInArrow(partial(_bucket_links, radius), "a long, b long")
+    return sorted_rows.mapInArrow(lean(partial(_bucket_links, radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -224,7 +224,7 @@ def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """rows (doc_id, fp) with component_id."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     known = distinct.count()
-    groups = connected_components(near_links(distinct.select("fp"), known, radius))
+    groups = connected_components(materialize(near_links(distinct.select("fp"), known, radius), "links"))
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     named = hub_join(named.select("fp", "rows", "component"), least, "component", known).select("fp", F.col("rows").alias("n"), "component_id")
@@ -239,7 +239,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     row = fresh(docs, "__row")
     placed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
-    prints = materialize(placed.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_placed_fingerprints, "row long, id long, fp long"), "fingerprints")
+    prints = materialize(placed.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_placed_fingerprints), "row long, id long, fp long"), "fingerprints")
     found = components_of(prints.select(F.col("row").alias("doc_id"), "fp"), radius)
     named = found.select(F.col("doc_id").alias("row"), "component_id").join(prints.select("row", "id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first"))
