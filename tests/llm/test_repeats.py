@@ -1,7 +1,8 @@
 import random
 from collections import defaultdict
 
-from vexel.llm import substring_dedup
+from vexel.llm import passages, substring_dedup
+from vexel.llm.components import connected_components
 from vexel.llm.simhash import Forest
 from vexel.llm.substring_dedup import bands_for, find_repeats, op1_paragraph_minhash, paragraph_words, shingles, similar, without_words
 
@@ -165,3 +166,20 @@ def test_runs_are_whole_passages(spark):
     assert covered == {100: set(range(20, 50)), 101: set(range(20, 50)), 102: set(range(10, 70)), 103: set(range(5, 65))}
     left = [without_words(text, [(r["start"], r["n_words"]) for r in found if r["doc_id"] == 100 + k and not r["kept"]]) for k, text in enumerate(texts)]
     assert left[:2] == texts[:2] and len(left[3].split()) == 5
+
+
+def test_links_of_runs_are_written_before_they_are_joined(spark, monkeypatch):
+    """Else tasks run two Python steps side by side, and executors keep a worker for each."""
+    plans = []
+
+    def watched(edges):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return connected_components(edges)
+
+    monkeypatch.setattr(passages, "connected_components", watched)
+    rng = random.Random(9)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    shared = words(60)
+    docs = spark.createDataFrame([(i, f"{words(30)} {shared} {words(30)}") for i in range(3)], "doc_id long, text string")
+    assert [r["n_words"] for r in find_repeats(docs).where("kind = 'run'").collect()] == [60] * 3
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import hub_join, materialize, text_blocks, text_slices
+from vexel.llm.common import hub_join, lean, materialize, text_blocks, text_slices
 from vexel.llm.components import connected_components
 
 SHINGLE, MIN_RUN = 5, 15
@@ -97,10 +97,14 @@ def pieces_of(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.n
     begin = place[:-1][follows]
     length = place[1:][follows] + SHINGLE - begin
     # differences of one polynomial's running sums, moved to power 0
-    powers, back = np.full(len(hashes), _ODD), np.full(len(hashes), _INVERSE)
-    powers[:1] = back[:1] = 1
-    sums = np.append(np.uint64(0), np.cumsum(hashes * np.cumprod(powers)))
-    key = (sums[begin + length] - sums[begin]) * np.cumprod(back)[begin]
+    powers = np.full(len(hashes), _ODD)
+    powers[:1] = 1
+    np.cumprod(powers, out=powers)
+    powers *= hashes
+    sums = np.append(np.uint64(0), np.cumsum(powers, out=powers))
+    powers[:] = _INVERSE
+    powers[:1] = 1
+    key = (sums[begin + length] - sums[begin]) * np.cumprod(powers, out=powers)[begin]
     return begin, length, mix(key + length.astype(np.uint64))
 
 
@@ -112,19 +116,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     seen: set[int] = set()
     for ts, texts in text_blocks(batches, ["t", "text"], BLOCK_BYTES):
-        words, lengths, own = [], [], []
+        found, own = [], []
         for t, text in zip(ts, texts, strict=True):
             if t in seen or not text:
                 continue
             seen.add(t)
-            new = words_of(text)
-            words.extend(new)
-            lengths.append(len(new))
+            found.append(word_hashes(words_of(text)))
             own.append(t)
-        if len(words) < MIN_RUN:
+        del texts[:]
+        if sum(map(len, found)) < MIN_RUN:
             continue
-        hashes, lengths = word_hashes(words), np.array(lengths, np.int64)
-        del words
+        hashes, lengths = np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        del found
         begins = np.cumsum(lengths) - lengths
         text_of = np.repeat(np.arange(len(lengths)), lengths)
         begin, length, key = pieces_of(hashes, text_of)
@@ -266,9 +269,9 @@ def _common(one: str, two: str) -> Column:
 
 def shared_pieces(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     """at, length and first (the first occurrence) of every piece that several texts have. texts: t, text; numbers: t and no, one row for each text."""
-    cut = texts.mapInArrow(_pieces, "key long, t long, code long")
+    cut = texts.mapInArrow(lean(_pieces), "key long, t long, code long")
     route = F.when(F.col("code").bitwiseAND(F.lit(3)) == 2, F.xxhash64("t", "code")).otherwise(F.col("key"))
-    hits = cut.repartition(route).sortWithinPartitions("key", "t").mapInArrow(_shared, "t long, code long, key long")
+    hits = cut.repartition(route).sortWithinPartitions("key", "t").mapInArrow(lean(_shared), "t long, code long, key long")
     at = F.shiftleft("no", PLACE_BITS) + F.shiftright("code", 6)
     found = hits.join(numbers.select("t", "no"), "t").select(at.alias("at"), F.col("code").bitwiseAND(F.lit(63)).cast("int").alias("length"), "key")
     found = materialize(found, "pieces")
@@ -288,7 +291,7 @@ def grown_parts(parts: DataFrame, texts: DataFrame, numbers: DataFrame) -> DataF
     counts = asked.groupBy("at", "back").agg(F.count("*").alias("n"))
     wanted = counts.withColumn("no", number_of("at")).join(numbers.select("no", "t"), "no")
     wanted = wanted.groupBy("t").agg(F.collect_list(F.when(F.col("back"), F.col("at"))).alias("before"), F.collect_list(F.when(~F.col("back"), F.col("at"))).alias("after"))
-    said = texts.mapInArrow(_once, "t long, text string").join(wanted, "t").select("text", "before", "after").mapInArrow(_contexts, "at long, back boolean, near array<string>")
+    said = texts.mapInArrow(lean(_once), "t long, text string").join(wanted, "t").select("text", "before", "after").mapInArrow(lean(_contexts), "at long, back boolean, near array<string>")
     said = materialize(said.groupBy("at", "back").agg(F.any_value("near").alias("near")).join(counts, ["at", "back"]), "contexts")
     met = hub_join(asked, said, ["at", "back"], asked.count()).groupBy("part", "back", "other")
     met = met.agg(F.max(F.when(F.col("mine"), F.col("near"))).alias("one"), F.max(F.when(~F.col("mine"), F.col("near"))).alias("two"))
@@ -354,11 +357,11 @@ def repeated_runs(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     closed to components. Runs of fewer than MIN_RUN words are left out.
     """
     met = shared_pieces(texts, numbers)
-    found = materialize(met.repartition(number_of("at")).sortWithinPartitions("at").mapInArrow(_regions, REGIONS), "regions")
+    found = materialize(met.repartition(number_of("at")).sortWithinPartitions("at").mapInArrow(lean(_regions), REGIONS), "regions")
     regions, parts = found.where("at IS NULL AND end IS NOT NULL").select("run", "end"), found.where("at IS NOT NULL").select("run", "at", "end", "left", "right")
     asking = found.where("first IS NOT NULL").select(F.col("first").alias("at"), F.col("run").alias("asker"))
     rows = asking.union(regions.select(F.col("run").alias("at"), F.lit(-1).cast("long").alias("asker")))
-    groups = connected_components(rows.repartition(number_of("at")).sortWithinPartitions("at", "asker").mapInArrow(_linked, "a long, b long"))
+    groups = connected_components(materialize(rows.repartition(number_of("at")).sortWithinPartitions("at", "asker").mapInArrow(lean(_linked), "a long, b long"), "links"))
 
     grown = grown_parts(parts, texts, numbers)
     sides = grown.groupBy("part").agg(F.max(F.when(F.col("back"), F.col("grown"))).alias("fore"), F.max(F.when(~F.col("back"), F.col("grown"))).alias("aft"))
@@ -369,6 +372,6 @@ def repeated_runs(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     whole = regions.join(fore, "run", "left").join(aft, "end", "left")
     whole = whole.select("run", F.lit(None).cast("long").alias("part"), (F.col("run") - F.coalesce("fore", F.lit(0))).alias("begin"), (F.col("end") + F.coalesce("aft", F.lit(0))).alias("end"))
     dealt = whole.union(removed).repartition(number_of("run")).sortWithinPartitions("run", "part")
-    placed = dealt.mapInArrow(_assembled, "run long, start int, n_words int, kept boolean")
+    placed = dealt.mapInArrow(lean(_assembled), "run long, start int, n_words int, kept boolean")
     named = placed.join(groups, placed["run"] == groups["node"], "left")
     return named.select(number_of("run").alias("no"), "start", "n_words", F.coalesce("component", "run").alias("class_id"), "kept")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import hub_join, materialize, salted_join, table, text_blocks, text_slices
+from vexel.llm.common import hub_join, lean, materialize, salted_join, table, text_blocks, text_slices
 from vexel.llm.components import connected_components
 from vexel.llm.passages import BLOCK_BYTES, PLACE_BITS, SHINGLE, gram_hashes, mix, number_of, place_in, repeated_runs, word_hashes
 from vexel.llm.simhash import Forest
@@ -106,14 +106,16 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int = B
 def _banded(bands: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as rows (bucket, para, mate): a paragraph that stands for this block of texts in the bucket is its own mate, another one's mate is that one."""
     for (texts,) in text_blocks(batches, ["text"], BLOCK_BYTES):
-        found: dict[int, list[bytes]] = {}
+        found: dict[int, np.ndarray] = {}
         for text in texts:
             for _, own in paragraph_words(text):
-                found.setdefault(paragraph_key(own), own)
+                if (key := paragraph_key(own)) not in found:
+                    found[key] = word_hashes(own)
+        del texts[:]
         if not found:
             continue
         sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
-        hashes = word_hashes([w for own in found.values() for w in own])
+        hashes = np.concatenate(list(found.values()))
         para = np.repeat(np.fromiter(found, np.uint64, len(found)).view(np.int64), bands)
         del found
         bucket = signatures(hashes, np.cumsum(sizes) - sizes, bands).ravel().view(np.int64)
@@ -230,9 +232,9 @@ def _verify_rest(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """bucket, para and mate: the members of every bucket of several distinct paragraphs, linked to the member that stands for it."""
-    banded = texts.select("text").mapInArrow(partial(_banded, bands_for(threshold)), "bucket long, para long, mate long")
+    banded = texts.select("text").mapInArrow(lean(partial(_banded, bands_for(threshold))), "bucket long, para long, mate long")
     route = F.when(F.col("para") == F.col("mate"), F.col("bucket")).otherwise(F.xxhash64("para", "bucket"))
-    return materialize(banded.repartition(route).sortWithinPartitions("bucket", "para").mapInArrow(_meeting, "bucket long, para long, mate long"), "candidates")
+    return materialize(banded.repartition(route).sortWithinPartitions("bucket", "para").mapInArrow(lean(_meeting), "bucket long, para long, mate long"), "candidates")
 
 
 def candidate_texts(texts: DataFrame, paras: DataFrame) -> DataFrame:
@@ -242,7 +244,7 @@ def candidate_texts(texts: DataFrame, paras: DataFrame) -> DataFrame:
     found = filled.toArrow()  # 4 million words at most
     bitmap = np.zeros(BITMAP_BITS >> 5, np.uint32)
     bitmap[np.asarray(found["word"])] = np.asarray(found["bits"]).astype(np.uint32)
-    passed = texts.select("text").mapInArrow(partial(_passing, texts.sparkSession.sparkContext.broadcast(bitmap)), "para long, text binary")
+    passed = texts.select("text").mapInArrow(lean(partial(_passing, texts.sparkSession.sparkContext.broadcast(bitmap))), "para long, text binary")
     return materialize(passed.join(paras, "para", "left_semi").groupBy("para").agg(F.any_value("text").alias("text")), "paragraph-texts")
 
 
@@ -261,7 +263,7 @@ def _rest_links(pairs: DataFrame, groups: DataFrame, texts: DataFrame, threshold
     asked = dealt.where("component <> core").select("bucket", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "para", "component")
     asking = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(True).alias("asks"), "para", "component")
     rows = asked.union(asking).join(texts, "para").select("bucket", "block", "part", "asks", "para", "component", "text")
-    return rows.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "asks", "para").mapInArrow(partial(_verify_rest, threshold), "a long, b long")
+    return rows.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "asks", "para").mapInArrow(lean(partial(_verify_rest, threshold)), "a long, b long")
 
 
 def paragraph_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -271,15 +273,15 @@ def paragraph_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFra
     held = candidate_texts(texts, paras)
     near = materialize(pairs.select("para", "mate").distinct(), "pairs")
     met = salted_join(near.join(held, "para"), held.select(F.col("para").alias("mate"), F.col("text").alias("other")), "mate", "para", near.count())
-    links = materialize(met.select("para", "mate", "text", "other").mapInArrow(partial(_verify, threshold), "a long, b long"), "links")
+    links = materialize(met.select("para", "mate", "text", "other").mapInArrow(lean(partial(_verify, threshold)), "a long, b long"), "links")
     groups = connected_components(links)
     rest = _rest_links(pairs, groups, held, threshold)
-    return groups if rest is None else connected_components(groups.toDF("a", "b").union(rest))
+    return groups if rest is None else connected_components(groups.toDF("a", "b").union(materialize(rest, "links")))
 
 
 def paragraphs_of(texts: DataFrame, numbers: DataFrame) -> DataFrame:
     """at, n_words and para of every paragraph; texts: t, text."""
-    found = texts.mapInArrow(_lines, "t long, start int, n_words int, para long").groupBy("t", "start").agg(F.any_value("n_words").alias("n_words"), F.any_value("para").alias("para"))
+    found = texts.mapInArrow(lean(_lines), "t long, start int, n_words int, para long").groupBy("t", "start").agg(F.any_value("n_words").alias("n_words"), F.any_value("para").alias("para"))
     at = F.shiftleft("no", PLACE_BITS) + F.col("start")
     return materialize(found.join(numbers.select("t", "no"), "t").select(at.alias("at"), "n_words", "para"), "paragraphs")
 
