@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 from vexel.llm import passages, substring_dedup
 from vexel.llm.components import connected_components
 from vexel.llm.simhash import Forest
@@ -183,3 +185,32 @@ def test_links_of_runs_are_written_before_they_are_joined(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{words(30)} {shared} {words(30)}") for i in range(3)], "doc_id long, text string")
     assert [r["n_words"] for r in find_repeats(docs).where("kind = 'run'").collect()] == [60] * 3
     assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_rest_of_a_bucket_is_compared_at_once(monkeypatch):
+    """The links of one comparison after another, without one: near copies, other texts, short ones, components, and two parts."""
+    rng = random.Random(10)
+    bases = [words(rng, 40).split() for _ in range(3)]
+    rows = []
+    for n in range(160):
+        own = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(40)] = f"x{rng.randrange(9)}"
+        rows.append((7, 0, n % 2, n >= 60, n, n // 2, " ".join(own[: rng.choice([2, 5, 38, 40])]).encode()))
+    rows.sort(key=lambda r: r[:5])
+    want = []
+    for part in (0, 1):
+        forest = Forest()
+        for _ in range(80):
+            forest.add()
+        asked = [r for r in rows if r[2] == part and not r[3]]
+        for a in (r for r in rows if r[2] == part and r[3]):
+            for b in asked:
+                if forest.root(a[5]) != forest.root(b[5]) and similar(shingles(a[6]), shingles(b[6])):
+                    forest.join(a[5], b[5])
+                    want.append((a[4], b[4]))
+    one_by_one = []
+    monkeypatch.setattr(substring_dedup, "similar", lambda *pair: one_by_one.append(pair) or similar(*pair))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], ["bucket", "block", "part", "asks", "para", "component", "text"]) for i in range(0, 160, 50)]
+    found = [tuple(r.values()) for batch in substring_dedup._verify_rest(0.8, iter(batches)) for r in batch.to_pylist()]
+    assert found == want and len(want) > 20 and not one_by_one

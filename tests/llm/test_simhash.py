@@ -129,6 +129,21 @@ def test_components_of_blocks(spark, monkeypatch, block):
     assert again == whole
 
 
+def test_edges_of_one_block_take_no_rounds(spark, monkeypatch):
+    """In however many tasks they lie, one closes them; more edges than a block take rounds until they are one."""
+    rounds = []
+    large_star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges, n: rounds.append(n) or large_star(edges, n))
+    rng = random.Random(8)
+    order = rng.sample(range(300), 300)  # a path in no order, so that a task's edges are scattered pieces of it
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(299)] + [(1000, 1001)], "a long, b long")
+    whole = {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000}
+    monkeypatch.setattr(components, "BLOCK_EDGES", 300)
+    assert {r["node"]: r["component"] for r in connected_components(edges.repartition(7)).collect()} == whole and rounds == []
+    monkeypatch.setattr(components, "BLOCK_EDGES", 100)
+    assert {r["node"]: r["component"] for r in connected_components(edges.repartition(7)).collect()} == whole and rounds
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count() and near_duplicates(no_docs).count() == 0

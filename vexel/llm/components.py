@@ -5,13 +5,15 @@ neighbourhood minimum is aggregated before the shuffle. A node with very many
 neighbours, as the stars themselves make, gets its minimum by broadcast
 (`hub_join`), so no task gathers a node's neighbours. Between rounds every task
 replaces the edges that it holds, in blocks of BLOCK_EDGES, by stars with the same
-components, so that what fits in few blocks needs few rounds. A round's edges are
-written to the shared folder, which cuts the lineage.
+components. Edges that are one block at most, at first or after a round, are closed
+by one task, in however many tasks they lie; only more of them take rounds. A
+round's edges are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vexel.llm.common import hub_join, lean, materialize
 
-#: Edges that a task turns into stars together.
+#: Edges that a task turns into stars together: 8 MB.
 BLOCK_EDGES = 500_000
 
 
@@ -42,8 +44,9 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """star_forest of every block of edges."""
+def _stars(batches: Iterator[pa.RecordBatch], block: int | None = None) -> Iterator[pa.RecordBatch]:
+    """star_forest of every block of edges; up to `block` of them (BLOCK_EDGES) are one block."""
+    block = block or BLOCK_EDGES
 
     def close() -> pa.RecordBatch:
         found = star_forest(*(np.concatenate([part[i] for part in held]) for i in (0, 1)))
@@ -53,7 +56,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append([np.asarray(batch.column(i)) for i in (0, 1)])
         n += batch.num_rows
-        if n >= BLOCK_EDGES:
+        if n >= block:
             yield close()
             held, n = [], 0
     if n:
@@ -61,7 +64,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return edges.mapInArrow(lean(_stars), "a long, b long")
+    return edges.mapInArrow(lean(partial(_stars, block=BLOCK_EDGES)), "a long, b long")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -96,6 +99,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             break
         before = now
+        if now[0] <= BLOCK_EDGES:
+            current = materialize(_contracted(current.coalesce(1)), "edges")
+            break
         current = materialize(_contracted(_small_star(_large_star(current, now[0]), now[0])), "edges")
     # a star forest: every edge runs from a node to its component's least node
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

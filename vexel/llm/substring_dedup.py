@@ -192,6 +192,33 @@ def similar(a: frozenset, b: frozenset, threshold: float = THRESHOLD) -> bool:
     return common >= threshold * (len(a) + len(b) - common)
 
 
+class Asked:
+    """Sets of shingles that others are compared with all at once: their common shingles are counted by an index from shingles to sets."""
+
+    def __init__(self, threshold: float = THRESHOLD):
+        self.threshold, self.number, self.sets = threshold, {}, []
+        self.starts = None
+
+    def add(self, own: frozenset) -> None:
+        self.sets.append(np.fromiter((self.number.setdefault(s, len(self.number)) for s in own), np.int64, len(own)))
+
+    def _close(self) -> None:
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        members = np.concatenate([np.empty(0, np.int64), *self.sets])
+        self.holders = np.repeat(np.arange(len(self.sizes)), self.sizes)[np.argsort(members, kind="stable")]
+        self.starts = np.append(0, np.cumsum(np.bincount(members, minlength=len(self.number)))).tolist()
+
+    def similar_to(self, own: frozenset) -> list[int]:
+        """The numbers of the sets for which similar() holds. No set is added afterwards."""
+        if self.starts is None:
+            self._close()
+        found = [self.holders[self.starts[k] : self.starts[k + 1]] for s in own if (k := self.number.get(s)) is not None]
+        if not found:
+            return []
+        common = np.bincount(np.concatenate(found), minlength=len(self.sizes))
+        return np.flatnonzero((common > 0) & (common >= self.threshold * (self.sizes + len(own) - common))).tolist()
+
+
 def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (para, mate, text, its mate's text): the pairs that are similar."""
     known = lru_cache(64)(shingles)  # mates come again
@@ -204,7 +231,7 @@ def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def _verify_rest(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, block, part, asks, para, component, text), sorted by the first four: the links between those that ask and those that are asked."""
-    key, held, forest, nodes, links = None, [], Forest(), {}, []
+    key, asked, forest, nodes, names, links = None, Asked(threshold), Forest(), {}, [], []
 
     def node(component: int) -> int:
         if component not in nodes:
@@ -215,13 +242,14 @@ def _verify_rest(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterato
     for batch in batches:
         for bucket, block, part, asks, para, component, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if (bucket, block, part) != key:
-                key, held, forest, nodes = (bucket, block, part), [], Forest(), {}
+                key, asked, forest, nodes, names = (bucket, block, part), Asked(threshold), Forest(), {}, []
             own, at = shingles(text), node(component)
             if not asks:
-                held.append((own, at, para))
+                asked.add(own)
+                names.append((at, para))
                 continue
-            for other, there, name in held:
-                if forest.root(at) != forest.root(there) and similar(own, other, threshold):
+            for there, name in (names[k] for k in asked.similar_to(own)):
+                if forest.root(at) != forest.root(there):
                     forest.join(at, there)
                     links.append((para, name))
         if links:
