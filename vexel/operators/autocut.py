@@ -41,14 +41,18 @@ def autocut_distances(distances: Sequence[float]) -> list[int]:
     return _cut(distances, 1)
 
 
-def autocut(results: DataFrame, ascending: bool = False, score_col: str = "score", rank_col: str = "rank", group_cols: Sequence[str] = ()) -> DataFrame:
-    """The rows before the largest gap; all of them where no gap is large enough. ascending: the scores are distances."""
+def autocut(results: DataFrame, ascending: bool = False, score_col: str = "score", rank_col: str = "rank", group_cols: Sequence[str] = (), from_zero: bool = True) -> DataFrame:
+    """The rows before the largest gap; all of them where no gap is large enough. ascending: the scores are distances.
+
+    from_zero: a change from 0 is an infinite gap, as in the list form; otherwise it is none, as in SQL.
+    """
     ordered = Window.partitionBy(*group_cols).orderBy(rank_col)
     whole = Window.partitionBy(*group_cols)
     before = F.lag(score_col).over(ordered)
     change = (F.col(score_col) - before) * (1 if ascending else -1)
-    infinite = F.when(change > 0, F.lit(math.inf)).when(change < 0, F.lit(-math.inf))
-    gap = F.when(before == 0, infinite).otherwise(F.try_divide(change, before))
+    gap = F.try_divide(change, before)
+    if from_zero:
+        gap = F.when(before == 0, F.when(change > 0, F.lit(math.inf)).when(change < 0, F.lit(-math.inf))).otherwise(gap)
     rows = results.withColumn("__gap", gap)
     rows = rows.withColumn("__largest", F.max("__gap").over(whole))
     rows = rows.withColumn("__cut", F.min(F.when((F.col("__gap") == F.col("__largest")) & (F.col("__largest") > LEAST_GAP), F.col(rank_col))).over(whole))
