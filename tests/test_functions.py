@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -123,3 +124,34 @@ def test_hash_features_of_a_batch():
     rng = random.Random(12)
     texts = [None, "", "a", "  \n", "é\U0001f600中 x", *("".join(rng.choice("ab é中\U0001f600\t Z") for _ in range(rng.randint(0, 60))) for _ in range(80))]
     assert hash_features_batch(texts).tolist() == [hash_features(t) for t in texts] and hash_features_batch([]).shape == (0, 64)
+
+
+def test_hash_features_of_long_texts_in_blocks(monkeypatch):
+    """Texts longer than a block, whose n-grams cross its ends."""
+    rng = random.Random(13)
+    texts = [None, "", "ab", *("".join(rng.choice("ab é中\U0001f600\t Z") for _ in range(rng.randint(0, 200))) for _ in range(60))]
+    for chars in (1, 7, 100):
+        monkeypatch.setattr("vexel.functions.text._CHARS", chars)
+        assert hash_features_batch(texts).tolist() == [hash_features(t) for t in texts]
+
+
+def test_memory_of_hash_features_does_not_grow_with_the_texts():
+    def peak(n):
+        texts = [f"{i} " * 1000 for i in range(n)]
+        tracemalloc.start()
+        hash_features_batch(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(1000) < 1.2 * peak(250)
+
+
+def test_embedder_gets_few_texts_at_once(spark):
+    class Sizes:
+        def load(self):
+            return lambda texts: np.array([[len(texts), sum(map(len, texts))]] * len(texts), np.float32)
+
+    rows = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") < 4000, "x").otherwise(F.repeat(F.lit("y"), 20_000)).alias("text"))
+    got = [r["v"] for r in rows.select(embed(F.col("text"), Sizes()).alias("v")).collect()]
+    assert len(got) == 5000 and max(v[0] for v in got) == 512 and max(v[1] for v in got) <= 1 << 20

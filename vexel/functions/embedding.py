@@ -12,12 +12,15 @@ from enum import Enum
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from vexel.functions.text import hash_features_batch
 
+#: Rows that an embedder gets at once, and the bytes of text from which it gets fewer.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+
 Encode = Callable[[list[str]], np.ndarray]
 
 
@@ -116,14 +119,28 @@ def embedding_model(use_quantized_onnx_model: bool = True, alternative_model: Al
     return TransformerEmbedder(AlternativeModel(e5_model_size or alternative_model))
 
 
+def _encoded(encode: Encode, texts: pa.Array) -> pa.Array:
+    """The texts' embeddings as lists, encoded a slice at a time."""
+    parts, start = [], 0
+    while start < len(texts):
+        rows = min(SLICE_ROWS, len(texts) - start)
+        while rows > 1 and texts.slice(start, rows).nbytes > SLICE_BYTES:
+            rows //= 2
+        parts.append(np.asarray(encode([t or "" for t in texts.slice(start, rows).to_pylist()]), np.float32))
+        start += rows
+    sizes = np.repeat([0, *(p.shape[1] for p in parts)], [1, *(len(p) for p in parts)])
+    values = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
+
+
 def embed(text: Column, embedder: Embedder) -> Column:
-    """The embedding of a text column; null texts count as empty."""
+    """The embedding of a text column; null texts count as empty. An embedder gets few rows or few bytes of text at once, whatever the Arrow batch holds."""
 
-    @pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = embedder.load()
         for texts in batches:
-            yield pd.Series(list(encode(texts.fillna("").tolist())), index=texts.index)
+            yield _encoded(encode, texts)
 
     return run(text)
 
