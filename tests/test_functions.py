@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from vexel.functions.embedding import HashEmbedder, OnnxEmbedder, embed, embeddi
 from vexel.functions.text import cosine_of, hash_features, hash_features_batch, murmur3_32, partial_ratio
 from vexel.operators.autocut import autocut, autocut_distances, autocut_scores
 from vexel.operators.rerank import hybrid_rerank_results
-from vexel.operators.search import batch_top_k, scored, top_k
+from vexel.operators.search import _Best, batch_top_k, scored, top_k
 
 
 def test_murmur_known_answers():
@@ -155,3 +156,52 @@ def test_embedder_gets_few_texts_at_once(spark):
     rows = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") < 4000, "x").otherwise(F.repeat(F.lit("y"), 20_000)).alias("text"))
     got = [r["v"] for r in rows.select(embed(F.col("text"), Sizes()).alias("v")).collect()]
     assert len(got) == 5000 and max(v[0] for v in got) == 512 and max(v[1] for v in got) <= 1 << 20
+
+
+def test_memory_of_batch_search_does_not_grow_with_an_arrow_batch(spark, monkeypatch):
+    rng, given = np.random.default_rng(4), []
+    rows = spark.createDataFrame([(0, [0.0] * 8)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(3000, 8)).tolist())], "qid long, embedding array<float>")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, work, schema: given.append(work) or self.sparkSession.createDataFrame([], schema))
+    batch_top_k(rows, queries)
+
+    def peak(n):
+        vectors = pa.array(list(rng.normal(size=(n, 8)).astype(np.float32)), pa.list_(pa.float32()))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), vectors], ["vec_id", "embedding"])
+        tracemalloc.start()
+        found = [b for b in given[0](iter([batch, batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(b.num_rows for b in found) == 3000 * 5
+        return most
+
+    assert peak(10_000) < 1.2 * peak(2_500)
+
+
+def test_batch_search_of_equal_and_near_vectors(spark, monkeypatch):
+    """Copies, multiples, ties, zero vectors, few rows and small tiles: ranks by the exact score, ties by id."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-2, 3, size=(30, 7)).astype(np.float32)
+    base[0] = 0
+    vectors = np.concatenate([base, base * 3, base, base + rng.normal(size=base.shape).astype(np.float32) * 1e-7, rng.normal(size=(80, 7)).astype(np.float32)])
+    ids = rng.permutation(len(vectors)).tolist()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>").repartition(3)
+    queries = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "qid")
+
+    def cosine(a, b):
+        d = na = nb = 0.0
+        for x, y in zip(a.astype(float).tolist(), b.astype(float).tolist(), strict=True):
+            d, na, nb = d + x * y, na + x * x, nb + y * y
+        return max(-1.0, min(1.0, d / math.sqrt(na * nb))) if na * nb else 0.0
+
+    by_id = dict(zip(ids, vectors, strict=True))
+    scores = {q: sorted(((-cosine(by_id[q], v), i) for i, v in by_id.items())) for q in ids if q % 3 == 0}
+    for k in (1, 6, 500):
+        want = {(q, i, r, -s) for q, found in scores.items() for r, (s, i) in enumerate(found[:k])}
+        assert {(r["qid"], r["vec_id"], r["rank"], r["score"]) for r in batch_top_k(rows, queries, k).collect()} == want
+    for tile, size in ((1, 7), (4, 200), (5, 1 << 20)):
+        best = _Best(np.stack([by_id[q] for q in scores]).astype(float), 6)
+        monkeypatch.setattr("vexel.operators.search.TILE_BYTES", size)
+        for low in range(0, len(ids), tile):
+            best.add(np.array(ids[low : low + tile]), vectors[low : low + tile].astype(float))
+        assert best.ids.tolist() == [[i for _, i in found[:6]] for found in scores.values()]
